@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwire.operators import timestamps
+from loomwire.scratch import materialize
+from loomwire.session import table
+
+
+def p6_times(spark: SparkSession, d: str) -> DataFrame:
+    return timestamps.normalise_times(table(spark, d, "raw_item"), table(spark, d, "source_profile"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    times = materialize(p6_times(spark, d).where("epoch_us is not null").select("raw_id", "epoch_us"), "times")
+    listed = times.select(F.lit("raw_item").alias("table_name"), F.col("raw_id").alias("row_id"), "epoch_us")
+    wrong = timestamps.wrong_dates(table(spark, d, "brief_news"), times)
+    return listed.unionByName(wrong.select(F.lit("brief_news").alias("table_name"), F.col("item_id").alias("row_id"), "epoch_us"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_times)}
+SQL: dict[str, str] = {}
