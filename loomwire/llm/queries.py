@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwire.llm import furniture, lines, pieces, residue, tokens, truncation
+from loomwire.llm import furniture, lines, pieces, quality, residue, tokens, truncation
 from loomwire.session import table
 
 
@@ -51,8 +51,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"))
+
+
+def p10_figures(spark: SparkSession, d: str) -> DataFrame:
+    figures = quality.text_quality(table(spark, d, "documents"))
+    return figures.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("mean_word_len", "symbol_ratio", "line_end_share", "common_share")], "best_lang", "profile")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kept, p3_found, p3_body, p4_found, p4_rates, p5_found, p5_pieces, p7_found, p8_ids)
+    f.__name__: f for f in (p1_found, p1_kept, p3_found, p3_body, p4_found, p4_rates, p5_found, p5_pieces, p7_found, p8_ids, p10_found, p10_figures)
 }
 
 SQL: dict[str, str] = {
