@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwire.llm import furniture, lines, pieces, quality, residue, tokens, truncation
+from loomwire.llm import furniture, lines, linkage, mixing, pieces, quality, residue, tokens, truncation
+from loomwire.scratch import materialize
 from loomwire.session import table
 
 
@@ -19,6 +20,14 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(table(spark, d, "brief_news")).select("item_id", "source_name", "category")
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link_batches(table(spark, d, "brief_news"), table(spark, d, "batch_item"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_links(spark, d).where("is_case").select("batch_item_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return furniture.furniture_lines(table(spark, d, "brief_news"))
 
@@ -51,6 +60,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(materialize(p9_mix(spark, d), "mix"), table(spark, d, "mix_target"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(table(spark, d, "documents"))
 
@@ -61,7 +78,7 @@ def p10_figures(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_kept, p3_found, p3_body, p4_found, p4_rates, p5_found, p5_pieces, p7_found, p8_ids, p10_found, p10_figures)
+    f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_links, p3_found, p3_body, p4_found, p4_rates, p5_found, p5_pieces, p7_found, p8_ids, p9_mix, p9_shares, p10_found, p10_figures)
 }
 
 SQL: dict[str, str] = {
