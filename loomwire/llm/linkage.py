@@ -2,7 +2,7 @@
 
 What has been accepted is kept as three tables in a folder: blocking keys of identity, address
 and title, bucketed by key, so that a batch is joined with them without moving them; statistics
-of title words; and merges of clusters. A batch computes its own keys, probes the key table,
+of title words; and the decisions on each batch, from which merges of clusters follow. A batch computes its own keys, probes the key table,
 compares the titles it meets, and adds the keys of what it accepts. The history's rows are read
 once, when the folder is filled for the first time. Equal titles share one entry, so a title that
 a third of all rows bear is one row of the table, and no group of rows is ever paired with itself.
@@ -85,17 +85,19 @@ def _word_counts(sig: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
-    """uid, rep, inner, changes, doubtful of the pairs whose titles are nearly the same but for the names."""
+    """uid, rep, inner, kind, changes, doubtful of the pairs that share a key, less those whose titles
+    differ too much; names are not yet looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [titles.compare(x, y) for x, y in zip(b.column("known").to_pylist(), b.column("new").to_pylist())]
+            kinds = b.column("kind").to_pylist()
+            found = [titles.compare(x, y) if k == "t" else (0, []) for k, x, y in zip(kinds, b.column("known").to_pylist(), b.column("new").to_pylist())]
             keep = pa.array([f is not None for f in found], pa.bool_())
             good = [f for f in found if f is not None]
-            arrays = [b.column("uid").filter(keep), b.column("rep").filter(keep), b.column("inner").filter(keep), pa.array([f[0] for f in good], pa.int32()), pa.array([f[1] for f in good], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["uid", "rep", "inner", "changes", "doubtful"])
+            arrays = [b.column(c).filter(keep) for c in ("uid", "rep", "inner", "kind")] + [pa.array([f[0] for f in good], pa.int32()), pa.array([f[1] for f in good], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["uid", "rep", "inner", "kind", "changes", "doubtful"])
 
-    return pairs.select("uid", "rep", "inner", "known", "new").mapInArrow(run, "uid bigint, rep bigint, inner boolean, changes int, doubtful array<string>")
+    return pairs.select("uid", "rep", "inner", "kind", "known", "new").mapInArrow(run, "uid bigint, rep bigint, inner boolean, kind string, changes int, doubtful array<string>")
 
 
 def agreement_weights(patterns: list[tuple[tuple[int, int, int], int]], rounds: int = 50) -> tuple[list[dict[int, float]], float]:
@@ -133,123 +135,143 @@ class HistoryLinker:
         self.root = root or new_folder(spark, "linkage")
         self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.table = f"loomwire_keys_{uuid.uuid4().hex[:10]}"
-        self.parts = 0
-        self.merges: list[DataFrame] = []
+        self.weights: list[dict[int, float]] | None = None
+        self.decided: list[tuple[DataFrame, DataFrame]] = []
 
     def _append(self, sig: DataFrame) -> None:
         entries = _entries(sig).repartition(self.buckets, "k")
         writer = entries.write.format("parquet").bucketBy(self.buckets, "k").sortBy("k").mode("append").option("path", f"{self.root}/keys")
         writer.saveAsTable(self.table)
-        _word_counts(sig).write.mode("append").parquet(f"{self.root}/words")
-        self.parts += 1
 
     def bootstrap(self, history: DataFrame, key: str = "item_id") -> None:
         """Fills the tables from the rows accepted so far, whose ``key`` is their identity; even numbers
-        stand for them inside, odd ones for the items of batches."""
-        self._append(materialize(_signatures(history, F.col(key) * 2, False), "history"))
+        stand for them inside, odd ones for the items of batches. The word statistics stay as of here."""
+        sig = materialize(_signatures(history, F.col(key) * 2, False).drop("pkeys"), "history")
+        self._append(sig)
+        _word_counts(sig).write.parquet(f"{self.root}/words")
+
+    def signatures(self, batch: DataFrame, key: str = "batch_item_id", *keep: str) -> DataFrame:
+        """Signatures of the items of one or more batches, written once; repeated keys are read once."""
+        rows = batch.dropDuplicates([key]).where(F.col(key).isNotNull())
+        sig = _signatures(rows, F.col(key) * 2 + 1, True)
+        if keep:
+            sig = sig.join(rows.select((F.col(key) * 2 + 1).cast("bigint").alias("ku"), *keep), F.col("uid") == F.col("ku")).drop("ku")
+        return materialize(sig, "batch")
 
     def link(self, batch: DataFrame, key: str = "batch_item_id") -> DataFrame:
         """Probes the history with a batch and accepts what is new. Returns ``key``, rep (its
         representative: -1 - item_id of a history row, or the ``key`` of an item), score and is_case
-        for each item of the batch, which is ordered by ``key``; repeated keys are read once."""
-        batch = batch.dropDuplicates([key]).where(F.col(key).isNotNull())
-        sig = materialize(_signatures(batch, F.col(key) * 2 + 1, True), "batch")
-        probes = _keys(sig, "pkeys").withColumnsRenamed({"tags": "new"})
-        probes = probes.repartition(self.buckets, "k")
-        known = self.spark.table(self.table).select(F.col("k").alias("ik"), F.col("v").alias("iv"), F.col("kind").alias("ikind"), "rep", F.col("tags").alias("known"))
-        members = materialize(_members(sig), "members")
-        own = members.where("uid = rep").select(F.col("k").alias("ik"), F.col("v").alias("iv"), F.col("kind").alias("ikind"), "rep", F.col("tags").alias("known"))
-        on = (F.col("k") == F.col("ik")) & (F.col("v") == F.col("iv")) & (F.col("kind") == F.col("ikind"))
-        met = probes.join(known, on).select("uid", "rep", "kind", "known", "new", F.lit(False).alias("inner"))
-        inner = probes.join(own, on & (F.col("rep") < F.col("uid"))).select("uid", "rep", "kind", "known", "new", F.lit(True).alias("inner"))
-        met = materialize(met.unionByName(inner).distinct(), "met")
-        near = self._near(met.where("kind = 't'"))
-        exact = met.where("kind <> 't'").select("uid", "rep", "inner", "kind", F.lit(0).alias("changes"))
-        links = materialize(exact.unionByName(near), "links")
-        scored = self._scored(met, links)
-        cases = self._cases(sig, scored, members)
+        for each item of the batch, which is ordered by ``key``."""
+        return self.link_signatures(self.signatures(batch, key), key)
+
+    def link_signatures(self, sig: DataFrame, key: str = "batch_item_id") -> DataFrame:
+        """As :meth:`link`, from :meth:`signatures`."""
+        links = self._links(sig)
+        cases = self._cases(sig, links)
         accepted = sig.join(cases.where("is_case").select(F.col("uid").alias("cu")), F.col("uid") == F.col("cu"), "left_anti")
         self._append(accepted)
-        self._merge(scored, cases)
-        rep = F.when(F.col("rep").isNull(), F.col("uid")).otherwise(F.col("rep"))
+        self.decided.append((links, cases))
+        rep = F.coalesce("rep", "uid")
         name = F.when(rep % 2 == 0, -1 - F.floor(rep / 2)).otherwise(F.floor(rep / 2))
         return cases.select(F.floor(F.col("uid") / 2).alias(key), name.alias("rep"), "score", "is_case")
 
-    def _near(self, met: DataFrame) -> DataFrame:
-        """Pairs whose titles are nearly the same: changed words in doubt are looked up."""
-        compared = materialize(_compared(met), "compared")
-        asked = compared.where(F.size("doubtful") > 0).select("uid", "rep", "changes", F.explode("doubtful").alias("d")).distinct()
-        asked = asked.select("uid", "rep", "changes", F.substring("d", 1, 1).alias("tag"), F.substring("d", 2, 1).alias("g"), F.element_at(F.split("d", ":"), -1).alias("word"))
-        words = self.spark.read.parquet(f"{self.root}/words").join(asked.select(F.col("word").alias("aw")).distinct(), F.col("word") == F.col("aw"), "left_semi")
-        words = words.groupBy(F.col("word").alias("w")).agg(*[F.sum(c).alias(c) for c in ("lower", "cap", "german")])
-        found = asked.join(words, F.col("word") == F.col("w"), "left").na.fill(0, ["lower", "cap", "german"])
-        noun = (F.col("g") == "g") & (F.col("cap") == 0) & (F.col("german") >= GERMAN_NOUN)
+    def _links(self, sig: DataFrame) -> DataFrame:
+        """uid, rep, inner, kind, score of all agreements, exact and near. rep is a representative of the
+        history, or, if inner, the first item of the batch with the key or title that was met."""
+        probes = _keys(sig, "pkeys").withColumnRenamed("tags", "new").repartition(self.buckets, "k")
+        known = self.spark.table(self.table).select(F.col("k").alias("ik"), F.col("v").alias("iv"), "rep", F.col("tags").alias("known"))
+        own = _keys(sig, "ikeys").groupBy("k", "v", "kind", "tags").agg(F.min("uid").alias("rep"))
+        own = own.select(F.col("k").alias("ik"), F.col("v").alias("iv"), "rep", F.col("tags").alias("known"))
+        # k alone is the key of the join, as the table is bucketed by it; v, which tells the kinds apart too, is checked beside it
+        on = (F.col("k") == F.col("ik")) & (F.col("v").bitwiseXOR(F.col("iv")) == 0)
+        columns = ["uid", "rep", "kind", "known", "new"]
+        met = probes.join(known, on).select(*columns, F.lit(False).alias("inner"))
+        met = met.unionByName(probes.join(own, on & (F.col("rep") < F.col("uid"))).select(*columns, F.lit(True).alias("inner"))).distinct()
+        # changed words in doubt are looked up; one that is a name ends the agreement
+        asked = _compared(met).withColumn("d", F.explode_outer("doubtful")).drop("doubtful")
+        words = self.spark.read.parquet(f"{self.root}/words")
+        found = asked.join(words, F.element_at(F.split("d", ":"), -1) == F.col("word"), "left").na.fill(0, ["lower", "cap", "german"])
+        noun = (F.substring("d", 2, 1) == "g") & (F.col("cap") == 0) & (F.col("german") >= GERMAN_NOUN)
         # a capital inside a sentence is a name's; at its start, or where case says nothing, the word must be known as one
-        is_name = (F.col("lower") == 0) & ~noun & F.when(F.col("tag") == "c", True).otherwise((F.col("cap") + F.col("german")) > 0)
-        named = found.groupBy("uid", "rep", "changes").agg(F.bool_or(is_name).alias("named")).where("named").select(F.col("uid").alias("nu"), F.col("rep").alias("nr"), F.col("changes").alias("nc"))
-        on = (F.col("uid") == F.col("nu")) & (F.col("rep") == F.col("nr")) & (F.col("changes") == F.col("nc"))
-        return compared.join(named, on, "left_anti").select("uid", "rep", "inner", F.lit("t").alias("kind"), "changes")
-
-    def _scored(self, met: DataFrame, links: DataFrame) -> DataFrame:
-        """Links with the learned weight of their agreement."""
-        level = [F.max(F.when(F.col("kind") == "h", 1)), F.max(F.when(F.col("kind") == "u", 1)), F.max(F.when(F.col("kind") == "t", F.when(F.col("changes") == 0, 2).otherwise(1)))]
-        fields = links.groupBy("uid", "rep").agg(*[F.coalesce(x, F.lit(0)).alias(c) for x, c in zip(level, "hut")])
-        tried = met.select("uid", "rep").distinct().join(fields, ["uid", "rep"], "left").na.fill(0, ["h", "u", "t"])
-        patterns = [((r.h, r.u, r.t), r["count"]) for r in tried.groupBy("h", "u", "t").count().collect()]  # twelve at most
-        weights, _ = agreement_weights(patterns)
+        is_name = (F.col("lower") == 0) & ~noun & F.when(F.col("d").startswith("c"), True).otherwise((F.col("cap") + F.col("german")) > 0)
+        sound = found.groupBy("uid", "rep", "inner", "kind", "changes").agg(F.coalesce(F.bool_or(is_name), F.lit(False)).alias("named")).where("not named").drop("named")
+        return materialize(self._scored(sound), "links")
+
+    def _scored(self, links: DataFrame) -> DataFrame:
+        """Links with the weight of their agreement, learned from the first batch that has links."""
+        level = {"h": F.when(F.col("kind") == "h", 1), "u": F.when(F.col("kind") == "u", 1), "t": F.when(F.col("kind") == "t", F.when(F.col("changes") == 0, 2).otherwise(1))}
+        fields = links.groupBy("uid", "rep", "inner").agg(F.collect_set("kind").alias("kinds"), *[F.coalesce(F.max(x), F.lit(0)).alias(c) for c, x in level.items()])
+        if self.weights is None:
+            fields = materialize(fields, "fields")
+            patterns = [((r.h, r.u, r.t), r["count"]) for r in fields.groupBy("h", "u", "t").count().collect()]  # twelve at most
+            self.weights = agreement_weights(patterns)[0] if patterns else None
+        weights = self.weights or agreement_weights([])[0]
         score = sum((F.element_at(F.array(*[F.lit(w[x]) for x in sorted(w)]), F.col(c) + 1) for c, w in zip("hut", weights)), F.lit(0.0))
-        scores = fields.select("uid", "rep", score.alias("score"))
-        return materialize(links.select("uid", "rep", "inner", "kind").distinct().join(scores, ["uid", "rep"]), "scored")
+        return fields.select("uid", "rep", "inner", F.explode("kinds").alias("kind"), score.alias("score"))
 
-    def _cases(self, sig: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    def _cases(self, sig: DataFrame, links: DataFrame) -> DataFrame:
         """uid, rep, score, is_case. An item with a link into the history is a case. Links within the batch
         lead to groups of items with the same key or title, named by their first item; an item is a case
         if a group that it links to has an earlier item that is none. Decided in rounds: an item is
         accepted when its groups have no earlier item left, and a case when the earliest left in one
         is accepted. A round moves one row per item and group, never pairs of a group's items."""
         case = links.where("not inner").select("uid").distinct()
-        inner = links.where("inner").select("uid", "kind", "rep").distinct()
-        open_ = materialize(inner.join(case.select(F.col("uid").alias("x")), F.col("uid") == F.col("x"), "left_anti"), "open")
-        groups = members.select("kind", "rep", F.col("uid").alias("member")).distinct()
-        groups = groups.join(open_.select("kind", "rep").distinct(), ["kind", "rep"], "left_semi")
-        left = materialize(groups.join(case.select(F.col("uid").alias("x")), F.col("member") == F.col("x"), "left_anti"), "groups")
-        while not open_.isEmpty():
-            first = left.groupBy("kind", "rep").agg(F.min("member").alias("first"))
-            waiting = open_.select("uid").distinct()
-            seen = open_.join(first, ["kind", "rep"]).where("first < uid")
-            # whatever is not waiting for another item is accepted
-            state = seen.join(waiting.select(F.col("uid").alias("w")), F.col("first") == F.col("w"), "left").groupBy("uid").agg(F.bool_or(F.col("w").isNull()).alias("case"))
-            state = materialize(waiting.join(state, "uid", "left").select("uid", F.coalesce("case", F.lit(False)).alias("case"), F.col("case").isNull().alias("free")), "state")
-            new = state.where("case").select("uid")
+        inner = links.where("inner").select("uid", "kind", "rep")
+        left, rounds = None, []
+        if not inner.isEmpty():
+            # all items by group, for the groups that were met
+            keys = _keys(sig, "ikeys").select("uid", "k", "v", "kind", "tags")
+            first = keys.groupBy("k", "v", "kind", "tags").agg(F.min("uid").alias("rep"), F.count_distinct("uid").alias("n")).withColumnsRenamed({"k": "k2", "v": "v2", "kind": "kind2", "tags": "tags2"})
+            on = (F.col("k") == F.col("k2")) & (F.col("v") == F.col("v2")) & (F.col("kind") == F.col("kind2")) & F.col("tags").eqNullSafe(F.col("tags2"))
+            groups = keys.join(first.join(inner.select("kind", "rep").distinct().withColumnsRenamed({"kind": "gk", "rep": "gr"}), (F.col("kind2") == F.col("gk")) & (F.col("rep") == F.col("gr")), "left_semi"), on)
+            groups = groups.select("kind", "rep", F.col("uid").alias("member")).distinct()
+            groups = groups.join(case.select(F.col("uid").alias("x")), F.col("member") == F.col("x"), "left_anti")
+            open_ = inner.join(case.select(F.col("uid").alias("x")), F.col("uid") == F.col("x"), "left_anti")
+            both = materialize(groups.select("kind", "rep", F.col("member").alias("uid"), F.lit(True).alias("member")).unionByName(open_.withColumn("member", F.lit(False))), "open")
+            while True:
+                left, open_ = both.where("member").select("kind", "rep", F.col("uid").alias("m")), both.where("not member").select("uid", "kind", "rep")
+                waiting = open_.select(F.col("uid").alias("w")).distinct()
+                earliest = left.groupBy("kind", "rep").agg(F.min("m").alias("first")).join(waiting, F.col("first") == F.col("w"), "left").select("kind", "rep", "first", F.col("w").isNull().alias("accepted"))
+                state = open_.join(earliest, ["kind", "rep"], "left").groupBy("uid").agg(F.bool_or((F.col("first") < F.col("uid")) & F.col("accepted")).alias("dup"), F.bool_or(F.col("first") < F.col("uid")).alias("behind"))
+                state = materialize(state.select("uid", F.coalesce("dup", F.lit(False)).alias("dup"), (~F.coalesce("behind", F.lit(False))).alias("free")), "state")
+                new = state.where("dup").select("uid")
+                rounds.append(new)
+                done = state.where("dup or free").select(F.col("uid").alias("x"))
+                gone = new.select(F.col("uid").alias("y"))
+                if state.where("not dup and not free").isEmpty():
+                    left = left.join(gone, F.col("m") == F.col("y"), "left_anti")
+                    break
+                kept = both.where("member").join(gone, F.col("uid") == F.col("y"), "left_anti").unionByName(both.where("not member").join(done, F.col("uid") == F.col("x"), "left_anti"))
+                both = materialize(kept, "open")
+        for new in rounds:
             case = case.unionByName(new)
-            done = state.where("case or free").select(F.col("uid").alias("x"))
-            open_ = materialize(open_.join(done, F.col("uid") == F.col("x"), "left_anti"), "open")
-            left = materialize(left.join(new.select(F.col("uid").alias("x")), F.col("member") == F.col("x"), "left_anti"), "groups")
-        case = materialize(case.distinct().select(F.col("uid").alias("c")), "case")
+        case = case.distinct().select(F.col("uid").alias("c"))
         # the representative is the best link to something accepted, the earliest of equals
-        first = left.groupBy("kind", F.col("rep").alias("g")).agg(F.min("member").alias("first"))
-        within = links.where("inner").join(first.withColumnRenamed("kind", "fk"), (F.col("kind") == F.col("fk")) & (F.col("rep") == F.col("g"))).select("uid", F.col("first").alias("rep"), "score")
-        good = links.where("not inner").select("uid", "rep", "score").unionByName(within.where("rep < uid"))
+        good = links.where("not inner").select("uid", "rep", "score")
+        if left is not None:
+            first = left.groupBy(F.col("kind").alias("fk"), F.col("rep").alias("g")).agg(F.min("m").alias("first"))
+            within = links.where("inner").join(first, (F.col("kind") == F.col("fk")) & (F.col("rep") == F.col("g"))).where("first < uid").select("uid", F.col("first").alias("rep"), "score")
+            good = good.unionByName(within)
         best = good.groupBy(F.col("uid").alias("b")).agg(F.max_by(F.struct("rep", "score"), F.struct("score", -F.col("rep"))).alias("best"))
         out = sig.select("uid").join(case, F.col("uid") == F.col("c"), "left").join(best, F.col("uid") == F.col("b"), "left")
         is_case = F.col("c").isNotNull()
         return materialize(out.select("uid", F.when(is_case, F.col("best.rep")).alias("rep"), F.when(is_case, F.col("best.score")).alias("score"), is_case.alias("is_case")), "decided")
 
-    def _merge(self, links: DataFrame, cases: DataFrame) -> None:
-        """An item that links to several accepted ones makes their clusters one: the pairs are appended,
-        nothing else is touched."""
-        known = links.join(cases.where("is_case").select(F.col("uid").alias("x")), F.col("rep") == F.col("x"), "left_anti")
-        least = known.groupBy("uid").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all"))
-        pairs = least.where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a <> b").distinct()
-        self.merges.append(materialize(pairs, "merges"))
+    def merges(self) -> DataFrame:
+        """a and b: representatives that one item of a batch links to, so that their clusters are one."""
+        out = None
+        for links, cases in self.decided:
+            known = links.where("not inner").select("uid", "rep").unionByName(cases.where("is_case").select("uid", "rep")).distinct()
+            least = known.groupBy("uid").agg(F.min("rep").alias("a"))
+            pairs = known.join(least, "uid").where("a <> rep").select("a", F.col("rep").alias("b"))
+            out = pairs if out is None else out.unionByName(pairs)
+        return out.distinct()
 
     def clusters(self) -> DataFrame:
         """uid and root of every representative that has been merged: union-find by pointer jumping over
         the merges alone, log-many rounds."""
-        links = self.merges[0].select(F.col("b").alias("uid"), F.col("a").alias("to"))
-        for m in self.merges[1:]:
-            links = links.unionByName(m.select(F.col("b").alias("uid"), F.col("a").alias("to")))
-        links = materialize(links.unionByName(links.select(F.col("to").alias("uid"), F.col("uid").alias("to"))).distinct(), "graph")
+        pairs = self.merges().select(F.col("b").alias("uid"), F.col("a").alias("to"))
+        links = materialize(pairs.unionByName(pairs.select(F.col("to").alias("uid"), F.col("uid").alias("to"))).distinct(), "graph")
         root = links.groupBy("uid").agg(F.least(F.min("to"), F.col("uid")).alias("root"))
         while True:
             root = materialize(root, "roots")
@@ -266,23 +288,16 @@ class HistoryLinker:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def _members(sig: DataFrame) -> DataFrame:
-    """All keys of a batch's items with rep, the first item that has the same key and title."""
-    keys = _keys(sig, "ikeys")
-    first = keys.groupBy("k", "v", "kind", "tags").agg(F.min("uid").alias("rep")).withColumnsRenamed({"k": "k2", "v": "v2", "kind": "kind2", "tags": "tags2"})
-    on = (F.col("k") == F.col("k2")) & (F.col("v") == F.col("v2")) & (F.col("kind") == F.col("kind2")) & F.col("tags").eqNullSafe(F.col("tags2"))
-    return keys.join(first, on).select("uid", "k", "v", "kind", "tags", "rep")
-
-
 def link_batches(history: DataFrame, batches: DataFrame, batch_no: str = "batch_no", key: str = "batch_item_id") -> DataFrame:
     """All batches in the order of ``batch_no`` against ``history`` and what was accepted before; columns
     as of :meth:`HistoryLinker.link`. The numbers of the batches are the only thing collected."""
     linker = HistoryLinker(history.sparkSession)
     linker.bootstrap(history)
     numbers = [r[0] for r in batches.select(batch_no).where(F.col(batch_no).isNotNull()).distinct().orderBy(batch_no).collect()]
+    sig = linker.signatures(batches.where(F.col(batch_no).isNotNull()), key, batch_no)
     out = None
     for n in numbers:
-        one = linker.link(batches.where(F.col(batch_no) == n), key).withColumn(batch_no, F.lit(n))
+        one = linker.link_signatures(sig.where(F.col(batch_no) == n).drop(batch_no), key).withColumn(batch_no, F.lit(n))
         out = one if out is None else out.unionByName(one)
     linker.close()
     if out is None:
