@@ -192,8 +192,8 @@ _BYLINE = regex.compile(
     r"^(?:(?i:by|words by|text by|written by|reported by|story by|von|text:|texte ?:|texto de|texto:|por|par|redaktion:|redacción:|rédaction :) ?\p{Lu}[\p{L}’'-]+ \p{Lu}[\p{L}’'-]+(?:[,|·–/-].{0,50}| (?:in|en|à|aus|IN|EN|À) \p{Lu}.{1,30})?"
     r"|\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+(?:,| in| en| à) \p{Lu}[\p{L} ]{2,40})$"
 )
-#: Four words or more, nearly all capitalised, without a mark: the entries of a menu.
-_TITLES = regex.compile(r"^(?:\p{Lu}[\p{L}’'-]*(?: (?:in|al|sesión|account|tiempo|connecter|cuenta|compte|und|y|et))?(?:\s+|$)){4,}$")
+#: Three words or more, all capitalised, or short Chinese words between blanks, without a mark: a menu.
+_TITLES = regex.compile(r"^(?:\p{Lu}[\p{L}’'-]*(?: (?:in|al|sesión|account|tiempo|connecter|cuenta|compte|und|y|et))?(?:\s+|$)){3,}$|^\p{Han}{2,4}(?: \p{Han}{2,4})+$")
 
 
 def ratio(line: str, tags: float, outlet: str) -> float:
