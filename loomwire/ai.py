@@ -89,7 +89,8 @@ def dedupe_by_event(items: DataFrame, history: DataFrame, client: AIClient, orde
     new = _payload(items, list(order))
     old = _payload(history, ["hash_id"]).withColumnsRenamed({"items": "covered", "category": "c2"})
     both = new.join(old, F.col("category") == F.col("c2"), "left").where((F.size("items") > 1) | (F.size("covered") > 0))
-    prompts = both.select("category", F.to_json(F.struct(F.col("items").alias("fetched"), F.coalesce("covered", F.array().cast(new.schema["items"].dataType)).alias("covered"))).alias("prompt"))
+    covered = F.coalesce(F.to_json("covered"), F.lit("[]"))
+    prompts = both.select("category", F.concat(F.lit('{"fetched":'), F.to_json("items"), F.lit(',"covered":'), covered, F.lit("}")).alias("prompt"))
     replies = _ask(prompts, client)
     ids = replies.select("category", F.coalesce(valid_dedupe(F.col("reply")), F.raise_error(F.lit("unsound dedupe reply")).cast("array<string>")).alias("ids"))
     gone = ids.select("category", F.explode("ids").alias("hash_id")).distinct()

@@ -40,14 +40,10 @@ def candidates(body: str | None, marker: tuple[str, str] = ("wrb.fr", "Fbv4je"),
     return out
 
 
-@F.udf("array<string>", useArrow=True)
-def _candidates(body: str) -> list[str]:
-    return candidates(body)
-
-
 def resolved_url(body: Column) -> Column:
     """First usable URL of a resolver's response, null if there is none."""
-    return F.get(F.filter(_candidates(body), is_publisher_url), F.lit(0))
+    found = F.udf(lambda b: candidates(b), "array<string>", useArrow=True)
+    return F.get(F.filter(found(body), is_publisher_url), F.lit(0))
 
 
 def decode_params(page: Column) -> Column:
