@@ -31,26 +31,34 @@ CUT_MARK = r"\s*(?:[\[(（]\s*(?:…|\.{2,}|\+?\d+ (?:more )?char\w*)\s*[\])）]
 TERMINAL = r"(?:[.!?。！？:：;；][\s\x{A0}]*[\"'”’»“„«」』)\]）]*|[.!?。！？]?[\])）][.。]?)\s*$"
 
 
-_FOLD = r"lower(regexp_replace(regexp_replace({x}, '\\p{Lu}[\\p{L}’]*(?:[ ,]\\p{Lu}[\\p{L}’]*)*', '¤'), '[0-9０-９]+', '0'))"
-_WORDS = r"regexp_extract_all({x}, '\\p{IsHan}|[\\p{L}\\p{M}]+|[^\\p{L}\\p{M} \\t\\r]', 0)"
+# Words between blanks with the stops that follow them; a line feed is a word of its own. Words with a
+# capital are names, numbers are all alike. A text with many characters of several bytes is split into
+# characters: in Chinese there are no blanks.
+_WORDS = r"""filter(CASE WHEN octet_length({x}) > 1.7 * length({x}) THEN split({x}, '')
+  ELSE transform(split(replace({x}, '\n', ' \n '), ' '),
+    w -> CASE WHEN ascii(w) BETWEEN 65 AND 90 THEN CASE WHEN right(w, 1) IN ('.', ',', ';', ':', '?', '!', '”', '"', ')', '»', '“') THEN concat('¤', right(w, 1)) ELSE '¤' END
+              WHEN ascii(w) BETWEEN 48 AND 57 THEN '0' ELSE w END) END, w -> w <> '')"""
 
 
 # fmt: off
 COUNTS = r"""
 SELECT h, count_if(NOT last) AS inside, count_if(last) AS terminal
-FROM (SELECT inline(transform(sequence(1, size(w) - 2),
-               i -> struct(xxhash64(w[i - 1], w[i], w[i + 1]) AS h, coalesce(get(w, i + 2), '\n') = '\n' AS last)))
-      FROM (SELECT {words} AS w FROM {texts}) WHERE size(w) >= 3)
+FROM (SELECT xxhash64(a, b, c) AS h, coalesce(d, '\n') = '\n' AS last
+      FROM (SELECT inline(arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)), slice(w, 4, size(w)))) AS (a, b, c, d)
+            FROM (SELECT {words} AS w FROM {texts}))
+      WHERE c IS NOT NULL)
 GROUP BY h
 """
 ENDS = r"""
-SELECT key, source, stripped <> tail AS marked, length(last_line) AS n,
+SELECT key, source, marked, length(last_line) AS n,
        xxhash64(get(w, size(w) - 3), get(w, size(w) - 2), get(w, size(w) - 1)) AS final,
        xxhash64(get(w, size(w) - 4), get(w, size(w) - 3), get(w, size(w) - 2)) AS before
-FROM (SELECT *, {words} AS w
-      FROM (SELECT key, source, last_line, tail, regexp_replace(tail, '{mark}', '') AS stripped
-            FROM (SELECT key, source, substring_index(raw, '\n', -1) AS last_line, right(raw, 200) AS tail FROM {texts})))
-WHERE stripped <> '' AND NOT stripped RLIKE '{terminal}'
+FROM (SELECT key, source, marked, last_line, {words} AS w
+      FROM (SELECT key, source, raw, mark <> '' AS marked, substring_index(raw, '\n', -1) AS last_line, left(right(raw, 200), length(right(raw, 200)) - length(mark)) AS stripped
+            FROM (SELECT key, source, raw, regexp_extract(right(raw, 60), '{mark}', 0) AS mark FROM {texts}
+                  -- most texts end with a plain stop and are done here
+                  WHERE NOT right(raw, 1) IN ('.', '!', '?', '。', '！', '？') OR right(raw, 2) = '..'))
+      WHERE stripped <> '' AND NOT right(stripped, 12) RLIKE '{terminal}')
 """
 CUT = r"""
 SELECT e.key, e.source
@@ -78,8 +86,8 @@ def truncated(df: DataFrame, text: str = "raw", key: str = "item_id", source: st
     spark = df.sparkSession
     df = df.select(key, source, text)
     texts = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.rtrim(F.col(text), F.lit(WHITE)).alias("raw")).where("raw <> ''")
-    counts = _sql(spark, COUNTS.replace("{words}", _WORDS.replace("{x}", _FOLD.replace("{x}", "raw"))), texts=texts)
-    ends = ENDS.replace("{words}", _WORDS.replace("{x}", _FOLD.replace("{x}", "stripped")))
+    counts = _sql(spark, COUNTS.replace("{words}", _WORDS.replace("{x}", "raw")), texts=texts)
+    ends = ENDS.replace("{words}", _WORDS.replace("{x}", "stripped"))
     ends = _sql(spark, ends.replace("{terminal}", _quoted(TERMINAL)).replace("{mark}", _quoted(CUT_MARK)), texts=texts)
     cut = materialize(_sql(spark, CUT.replace("{most}", repr(max_terminal)), ends=ends, counts=counts), "cuts")
     # the check: the last line is text, not a headline, link or notice that needs no full stop
