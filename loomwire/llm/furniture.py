@@ -121,7 +121,8 @@ def has_cue(line: str) -> bool:
 
 #: Longest line, in characters, that can be furniture if no real tag is in it.
 LONGEST = 260
-_OUTLET_SHORT = 140
+#: Longest line in which the outlet's name counts, and the shortest such name, unless it is Chinese.
+_OUTLET_SHORT, _OUTLET_LEAST = 140, 6
 
 
 class _Events(HTMLParser):
@@ -181,7 +182,7 @@ def left_tags(line: str, outlet: str) -> float:
         return 0.0
     if _COUNTED.match(x) or (_MENU.match(x) and not _SCORE.match(x)):
         return 3.0
-    if outlet and len(x) <= _OUTLET_SHORT and outlet in x.casefold() and not _SAYS.search(x):
+    if (len(outlet) >= _OUTLET_LEAST or _CJK.match(outlet)) and len(x) <= _OUTLET_SHORT and outlet in x.casefold() and not _SAYS.search(x):
         return 2.0
     return 1.5 if _TITLES.match(x) else 0.0
 
@@ -260,11 +261,14 @@ def line_ratios(text: str, outlet: str = "", parser: _Events | None = None) -> t
 
 
 def ends_as_text(text: str, outlet: str = "", parser: _Events | None = None) -> bool:
-    """Whether the last non-blank line is text of the article: not furniture, nor one of several
-    lines like headlines."""
-    _, r = line_ratios(text, outlet, parser)
+    """Whether the last non-blank line is running text of the article: not furniture, a score or an item
+    of a list, nor one of several lines like headlines."""
+    rows, r = line_ratios(text, outlet, parser)
     if len(r) == 0 or r[-1] <= 0.2:
         return False
+    last = text.split("\n")[rows[-1]].strip()
+    if _SCORE.match(last) or _BULLET.match(last):
+        return False
     return bool(r[-1] >= HIGH or len(r) == 1 or not 0.2 <= r[-2] <= 0.3)
 
 

@@ -38,7 +38,7 @@ def test_natural_ends():
     text = ("A sentence here. " * 30 + "\n\n") * 20
     a, b = pieces.cuts(text, 1000, 100)
     assert all(text[:e].endswith("\n\n") or e == len(text) for e in b)
-    assert all(text[e - 1] == " " for e in pieces.cuts("word " * 900, 1000, 0)[1])
+    assert pieces.cuts("word " * 900, 1000, 0)[1].tolist() == [1000, 2000, 3000, 4000, 4500]
     # no boundary at all, and no cut before a combining mark
     assert all(x[0] != "́" for x in (("é" * 5000)[i:j] for i, j in zip(*pieces.cuts("é" * 5000, 999, 0))))
     with pytest.raises(ValueError):
