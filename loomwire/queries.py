@@ -277,7 +277,7 @@ def reply_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reply_match_by_id_or_pos(spark: SparkSession, d: str) -> DataFrame:
-    rows = _shown(spark, d).withColumnRenamed("item_ord", "o").withColumn("item_ord", (F.col("o").cast("bigint") * 10_000_000 + F.col("item_id")))
+    rows = items.first_wins(_shown(spark, d), ["category", "hash_id"], ["item_id"]).withColumnRenamed("item_ord", "o").withColumn("item_ord", (F.col("o").cast("bigint") * 10_000_000 + F.col("item_id")))
     ids = rows.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("source_ord", "item_ord", "hash_id"))).alias("r"))
     # every second id is given wrong and must be matched by its place
     said = F.transform("r", lambda r, i: F.struct(F.when(i % 2 == 0, r["hash_id"]).otherwise("?").alias("hash_id"), F.concat(F.lit("T"), i.cast("string")).alias("title"), F.array(F.lit("a bullet of ten"), F.lit("another bullet")).alias("bullets")))
@@ -441,7 +441,7 @@ SQL: dict[str, str] = {
     "extract_body_container": f"SELECT doc_id, sha256({_GENERIC_SQL}) AS h FROM (SELECT doc_id, {_PAGE_SQL} AS page FROM documents WHERE text IS NOT NULL)",
     "extract_long": f"SELECT doc_id, sha256({_LONG_SQL}) AS h FROM (SELECT doc_id, {_PAGE_SQL} AS page FROM documents WHERE text IS NOT NULL)",
     "extract_article_content": f"SELECT doc_id, sha256(CASE WHEN length({_clean_sql('x')}) > 20 THEN {_clean_sql('x')} ELSE '' END) AS h FROM (SELECT doc_id, {_FULL_SQL} AS x FROM (SELECT doc_id, {_PAGE_SQL} AS page FROM documents WHERE text IS NOT NULL))",
-    "extract_text_blocks_marked": "SELECT doc_id, CASE WHEN lang IS NOT NULL AND source IS NOT NULL THEN lang END AS body FROM documents WHERE text IS NOT NULL",
+    "extract_text_blocks_marked": "SELECT doc_id, CASE WHEN lang IS NOT NULL AND source IS NOT NULL THEN lang ELSE '' END AS body FROM documents WHERE text IS NOT NULL",
     "extract_component_marked": f"SELECT doc_id, CASE WHEN source IS NULL THEN NULL WHEN length(repeat(source, 9)) > 50 THEN {_trim_sql('repeat(source, 9)')} ELSE '' END AS body FROM documents",
     "route_extractor": "SELECT extractor, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'generic' AS extractor, count(*) AS n FROM brief_news UNION ALL VALUES " + ", ".join(f"({_q(e)}, {n})" for e, n in _ROUTED.items()) + ") GROUP BY extractor",
     "read_items": "SELECT item_id, NOT EXISTS (SELECT 1 FROM brief_news b WHERE b.url = a.url AND b.raw_id IS NOT NULL AND b.item_id % 2 = 0) AS kept FROM brief_news a WHERE raw_id IS NOT NULL",
@@ -452,7 +452,7 @@ SQL: dict[str, str] = {
     "format_digest": f"""WITH s AS ({_sections_sql(_SHOWN)}), c AS (SELECT coalesce(d.category, s.category) AS category, s.section FROM (SELECT DISTINCT category FROM category_dim) d FULL JOIN s ON d.category = s.category)
       SELECT '📰 *News Briefing \\| ' || {_ESC.format(_q(AS_OF.strftime("%m/%d/%Y %H:%M")))} || ' ' || string_agg({_SIGN}, '' ORDER BY {_PLACE}, category) FILTER ({_PLACE} <= 8) || '*' || coalesce(chr(10) || chr(10) || string_agg(section, chr(10) || chr(10) ORDER BY {_PLACE}, category), '') AS text FROM c""".replace("\\\\|", "\\|"),
     "reply_validate": "SELECT doc_id, (doc_id % 7 BETWEEN 2 AND 5) AND doc_id % 11 <> 0 AS ok FROM documents",
-    "reply_match_by_id_or_pos": f"SELECT item_id, 'T' || (row_number() OVER (PARTITION BY category ORDER BY source_ord, item_ord, item_id) - 1) AS title FROM {_SHOWN}",
+    "reply_match_by_id_or_pos": f"SELECT item_id, 'T' || (row_number() OVER (PARTITION BY category ORDER BY source_ord, item_ord, item_id) - 1) AS title FROM (SELECT * FROM {_SHOWN} QUALIFY row_number() OVER (PARTITION BY category, hash_id ORDER BY item_id) = 1)",
     "dedupe_by_event": """SELECT batch_item_id FROM batch_item b WHERE NOT EXISTS (SELECT 1 FROM brief_news n WHERE n.category = b.category AND n.hash_id = b.hash_id)
       AND NOT EXISTS (SELECT 1 FROM batch_item o WHERE o.category = b.category AND o.hash_id = b.hash_id
         AND NOT EXISTS (SELECT 1 FROM brief_news n WHERE n.category = o.category AND n.hash_id = o.hash_id) AND EXISTS (SELECT 1 FROM brief_news n WHERE n.category = o.category AND n.title = o.title))""",
