@@ -86,23 +86,21 @@ def figures(text: str) -> dict:
     """All figures of one text."""
     tokens = _TOKEN.findall(text)
     han = _HAN.findall(text)
-    words, kinds = [], np.zeros(5)
-    lower = []
-    for t in tokens:
+    kinds = np.zeros(5)
+    letters_only = [t for t in tokens if t.isalpha()]
+    lower = [t.lower() for t in letters_only if len(t) <= 25 and not _HAN.search(t)] if han else [t.lower() for t in letters_only if len(t) <= 25]
+    kinds[1] = len(lower)
+    kinds[3] = sum(len(t) > 25 and not _HAN.match(t) for t in letters_only)
+    for t in tokens if len(letters_only) < len(tokens) else ():
+        if t.isalpha():
+            continue
         if t[0].isalpha() or t[0].isdigit():
-            if t.isalpha():
-                if len(t) > 25 and not _HAN.match(t):
-                    kinds[3] += 1
-                elif not _HAN.search(t):
-                    kinds[1] += 1
-                    lower.append(t.lower())
-            elif t.isdigit():
+            if t.isdigit():
                 kinds[2] += 1
-            else:
-                kinds[3] += 1 if not _HAN.search(t) else 0
-            words.append(t)
-        else:
-            kinds[4] += 1 if t.strip(_STOPS) else 0
+            elif not (han and _HAN.search(t)):
+                kinds[3] += 1
+        elif t.strip(_STOPS):
+            kinds[4] += 1
     best, common = ("zh", 0) if han else ("en", 0)
     for k in LANGS[:-1]:
         hits = sum(map(_SETS[k].__contains__, lower))
