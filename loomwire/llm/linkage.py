@@ -125,8 +125,8 @@ def agreement_weights(patterns: list[tuple[tuple[int, int, int], int]], rounds:
 class HistoryLinker:
     """Linkage of batches against a growing history.
 
-    ``root`` is a folder that all executors share; a new one in the session's shared folder if not
-    given. Rows need hash_id, url, title and source_name; null or empty ones are no evidence. Other
+    ``root`` is a folder that all executors share; one that holds a history is opened, and is not to be
+    filled again; a new one in the session's shared folder if not given. Rows need hash_id, url, title and source_name; null or empty ones are no evidence. Other
     columns are ignored.
     """
 
@@ -135,6 +135,11 @@ class HistoryLinker:
         self.root = root or new_folder(spark, "linkage")
         self.buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.table = f"loomwire_keys_{uuid.uuid4().hex[:10]}"
+        if root and _exists(spark, f"{root}/buckets"):
+            # a history of an earlier session: its table is named again, nothing is read
+            self.buckets = spark.read.parquet(f"{root}/buckets").first()[0]
+            columns = "k BIGINT, v BIGINT, kind STRING, tags STRING, rep BIGINT"
+            spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY (k) SORTED BY (k) INTO {self.buckets} BUCKETS LOCATION '{root}/keys'")
         self.weights: list[dict[int, float]] | None = None
         self.decided: list[tuple[DataFrame, DataFrame]] = []
 
@@ -149,6 +154,7 @@ class HistoryLinker:
         sig = materialize(_signatures(history, F.col(key) * 2, False).drop("pkeys"), "history")
         self._append(sig)
         _word_counts(sig).write.parquet(f"{self.root}/words")
+        self.spark.range(1).select(F.lit(self.buckets).alias("n")).write.parquet(f"{self.root}/buckets")
 
     def signatures(self, batch: DataFrame, key: str = "batch_item_id", *keep: str) -> DataFrame:
         """Signatures of the items of one or more batches, written once; repeated keys are read once."""
@@ -285,9 +291,15 @@ class HistoryLinker:
             root = jump
 
     def close(self) -> None:
+        """Forgets the table's name; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def link_batches(history: DataFrame, batches: DataFrame, batch_no: str = "batch_no", key: str = "batch_item_id") -> DataFrame:
     """All batches in the order of ``batch_no`` against ``history`` and what was accepted before; columns
     as of :meth:`HistoryLinker.link`. The numbers of the batches are the only thing collected."""

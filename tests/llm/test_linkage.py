@@ -79,3 +79,17 @@ def test_weights_order():
     w, p = linkage.agreement_weights([((1, 1, 2), 50), ((1, 0, 0), 5), ((0, 0, 1), 30), ((0, 0, 0), 1000)])
     assert all(x[1] > x[0] for x in w) and w[2][2] > w[2][0] and 0 < p < 1
     assert linkage.agreement_weights([])[0][0][1] > 0
+
+
+def test_reopened(spark, tmp_path):
+    root = f"file://{tmp_path}/linkage"
+    first = linkage.HistoryLinker(spark, root)
+    first.bootstrap(history(spark, ("h0", "https://a.example/0", T, "S")))
+    first.link(batches(spark, (1, "h1", "https://a.example/1", "Another story with 9 names", "S"))).count()
+    first.close()
+    again = linkage.HistoryLinker(spark, root)
+    got = again.link(batches(spark, (2, "x", None, T.lower(), "S"), (2, "h1", None, "Y", "S"), (2, "z", None, "Z", "S")).where("batch_no = 2").selectExpr("batch_item_id + 10 AS batch_item_id", "hash_id", "url", "title", "source_name"))
+    assert {r.batch_item_id: r.is_case for r in got.collect()} == {10: True, 11: True, 12: False}
+    plan = spark.table(again.table)._jdf.queryExecution().toString()
+    assert f"{again.buckets} buckets" in plan or "Bucketed" in plan
+    again.close()
