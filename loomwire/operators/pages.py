@@ -22,58 +22,62 @@ def _join(paragraphs: Column, most: int = MAX_PARAGRAPHS, between: str = "\n\n")
     return F.array_join(F.slice(paragraphs, 1, most), between)
 
 
-def _clean(blocks: Column) -> Column:
-    return F.transform(blocks, lambda b: collapse_whitespace(strip_tags_body(b)))
+def _stripped(blocks: Column) -> Column:
+    return F.transform(blocks, strip_tags_body)
 
 
-def _sized(blocks: Column, least: int, most: int | None = 5000) -> Column:
-    """Blocks whose stripped, not yet collapsed text is longer than ``least`` and shorter than ``most``."""
+def _collapsed(texts: Column) -> Column:
+    return F.transform(texts, collapse_whitespace)
 
-    def ok(b: Column) -> Column:
-        n = F.length(strip_tags_body(b))
-        return (n > least) & (n < most) if most else n > least
 
-    return F.filter(blocks, ok)
+def _sized(texts: Column, least: int, most: int | None = 5000) -> Column:
+    """Stripped, not yet collapsed texts that are longer than ``least`` and shorter than ``most``."""
+    return F.filter(texts, lambda t: (F.length(t) > least) & (F.length(t) < most) if most else F.length(t) > least)
+
+
+def _paragraphs(page: Column) -> Column:
+    return _stripped(_all(page, _P))
 
 
 def generic(page: Column) -> Column:
     """All paragraphs of more than 40 and fewer than 5,000 characters."""
-    return _join(_clean(_sized(_all(page, _P), 40)))
+    return _join(_collapsed(_sized(_paragraphs(page), 40)))
 
 
 def long(page: Column) -> Column:
     """As generic from 50 characters, without the paragraphs that invite to sign in and subscribe."""
-    kept = F.filter(_sized(_all(page, _P), 50), lambda b: ~(F.lower(strip_tags_body(b)).contains("sign in") & F.lower(strip_tags_body(b)).contains("subscribe")))
-    return _join(_clean(kept))
+    kept = F.filter(_sized(_paragraphs(page), 50), lambda t: ~(F.lower(t).contains("sign in") & F.lower(t).contains("subscribe")))
+    return _join(_collapsed(kept))
 
 
 def text_blocks(page: Column) -> Column:
     """The first paragraph of each marked text block; all of generic's if no block is marked."""
     marked = F.when(page.contains('data-component="text-block"'), _all(page, r'(?s)data-component="text-block".*?<p[^>]*>(.*?)</p>')).otherwise(F.array().cast("array<string>"))
-    blocks = F.when(F.size(marked) > 0, marked).otherwise(_sized(_all(page, _P), 40))
-    return _join(F.filter(_clean(blocks), lambda p: p != ""))
+    texts = F.when(F.size(marked) > 0, _stripped(marked)).otherwise(_sized(_paragraphs(page), 40))
+    return _join(F.filter(_collapsed(texts), lambda p: p != ""))
 
 
 def component(page: Column) -> Column:
     """Elements marked as paragraphs, of more than 50 and fewer than 5,000 characters; else generic."""
-    marked = F.filter(_clean(_all(page, r'(?s)data-component-name="paragraph"[^>]*>(.*?)</div>')), lambda p: (F.length(p) > 50) & (F.length(p) < 5000))
-    return F.when(F.size(marked) > 0, _join(marked)).otherwise(generic(page))
+    marked = F.when(page.contains('data-component-name="paragraph"'), _all(page, r'(?s)data-component-name="paragraph"[^>]*>(.*?)</div>')).otherwise(F.array().cast("array<string>"))
+    texts = F.filter(_collapsed(_stripped(marked)), lambda p: (F.length(p) > 50) & (F.length(p) < 5000))
+    return F.when(F.size(texts) > 0, _join(texts)).otherwise(generic(page))
 
 
 def article_content(page: Column) -> Column:
     """The article's container cut at its paragraphs; without one the first 20 paragraphs of more than
     40 characters as one. Pieces of 20 characters or fewer go."""
     body = F.nullif(F.regexp_extract(page, r'(?s)<div[^>]*class="[^"]*article-content[^"]*"[^>]*>(.*?)</article>', 1), F.lit(""))
-    rest = F.array_join(_clean(F.slice(_sized(_all(page, _P), 40, None), 1, 20)), " ")
+    rest = F.array_join(_collapsed(F.slice(_sized(_paragraphs(page), 40, None), 1, 20)), " ")
     pieces = F.split(F.coalesce(body, rest), r"</p>\s*<p[^>]*>")
-    return _join(F.filter(_clean(pieces), lambda p: F.length(p) > 20))
+    return _join(F.filter(_collapsed(_stripped(pieces)), lambda p: F.length(p) > 20))
 
 
 def body_container(page: Column) -> Column:
     """Paragraphs of more than 40 characters in the body container; else generic."""
     body = F.regexp_extract(page, r'(?s)<div[^>]*class="[^"]*ms-article__body[^"]*"[^>]*>(.*?)</div>', 1)
-    inner = _sized(_all(body, _P), 40, None)
-    return F.when(F.size(inner) > 0, _join(_clean(inner))).otherwise(generic(page))
+    inner = F.when(body != "", _sized(_paragraphs(body), 40, None)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(inner) > 0, _join(_collapsed(inner))).otherwise(generic(page))
 
 
 EXTRACTORS = {f.__name__: f for f in (generic, long, text_blocks, component, article_content, body_container)}
