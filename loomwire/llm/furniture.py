@@ -66,15 +66,15 @@ CUES = (
     r"^(?:photo|photograph|picture|image|foto|fotografía|imagen|bild|crédit|credit|photographie|图片|摄影|图/|图：|供图)\w{0,4} ?[:：/ ]|\b(?:pool|getty|agency)\s*$|摄$",
     r"^(?:tags?|topics?|filed under|keywords?|etiquetas|temas|schlagwörter|schlagworte|themen|mots[ -]clés|thèmes|标签|关键词|关键字) ?[:：]",
     # skip links and controls
-    r"^(?:skip|jump) (?:to|navigation)|^(?:saltar|ir) al? |^(?:aller|passer) (?:au|à)|^(?:zum|direkt zum|weiter zum) |^跳(?:到|至|转)|^(?:back to|zurück|volver|retour|haut de|返回|回到)\b.{0,20}$|返回顶部|^(?:open|close|toggle|show|hide|abrir|cerrar|ouvrir|fermer|öffnen|menü|menu|menú|suche|search|buscar|rechercher|搜索|菜单|登录|注册|我的账户)\b.{0,22}$|^(?:打开|关闭|展开)",
+    r"^(?:skip|jump) (?:to|navigation)|^navigation (?:überspringen|überblättern)$|^无障碍|^(?:saltar|ir) al? |^(?:aller|passer) (?:au|à)|^(?:zum|direkt zum|weiter zum) |^跳(?:到|至|转)|^(?:back to|zurück|volver|retour|haut de|返回|回到)\b.{0,20}$|返回顶部|^(?:open|close|toggle|show|hide|abrir|cerrar|ouvrir|fermer|öffnen|menü|menu|menú|suche|search|buscar|rechercher|搜索|菜单|登录|注册|我的账户)\b.{0,22}$|^(?:打开|关闭|展开)",
     r"^(?:sign in|log in|sign up|register|my account|iniciar sesión|mi cuenta|se connecter|mon compte|anmelden|mein konto|einloggen|registrarse|s.inscrire)\b.{0,14}$",
     # other stories
     r"^(?:read (?:more|also|next)|see also|watch|video|listen|more|lea también|le(?:e|a) más|vea|vídeo|ver también|lire aussi|à lire|voir aussi|vidéo|lesen sie|mehr zum|auch interessant|video|sehen sie|延伸阅读|相关阅读|阅读更多|另见|视频|点击)\b ?[:：]?",
     r"^(?:read more|watch|lire aussi|lea también|lesen sie auch) ",
     r"^(?:most read|popular (?:today|now)|trending|recommended|related|editor.?s.? picks?|you (?:may|might) (?:also )?like|in case you missed|from our partners|more (?:on|from)|top (?:videos|stories)|also in|latest|what to read|don.t miss|around the web)\b.{0,24}$",
-    r"^(?:lo (?:más leído|último)|lo más|más (?:noticias|de|sobre|leíd\w*)|también te|te puede|le puede|relacionad\w*|noticias relacionadas|recomendad\w*|destacad\w*|de nuestros|en otras|no se pierda|no te lo pierdas|hoy (?:en|se|destacamos)|vídeos? destacad\w*|tendencias)\b.{0,24}$",
-    r"^(?:les plus lus|à la une|sur le même|vous aimerez|en ce moment|plus (?:de|sur|d.)|articles? (?:liés|les)|tendances|de nos partenaires|nos (?:partenaires|recommandations)|en vidéo|à ne pas|dernières|populaire|recommandé|le choix|à découvrir|dans la même)\b.{0,24}$",
-    r"^(?:lesetipps?|meistgelesen|heute beliebt|beliebt|mehr (?:zu|aus|von)|das könnte|auch interessant|ähnliche|weitere|unsere partner|von unseren|empfohlen|top-?videos|videos? des tages|aus dem ressort|im trend|nicht verpassen|aktuelle?s?|neueste|außerdem)\b.{0,24}$",
+    r"^(?:lo (?:más leído|último)|lo más|más (?:noticias|de|sobre|leíd\w*)|también te|te puede|le puede|relacionad\w*|noticias relacionadas|recomendad\w*|destacad\w*|de nuestros|contenidos? patrocinad\w*|en otras|no se pierda|no te lo pierdas|hoy (?:en|se|destacamos)|vídeos? destacad\w*|tendencias)\b.{0,24}$",
+    r"^(?:les plus lus|à la une|sur le même|vous aimerez|en ce moment|plus (?:de|sur|d.)|articles? (?:liés|les)|tendances|de nos partenaires|contenus? (?:sponsoris\w*|partenaires?)|nos (?:partenaires|recommandations)|en vidéo|à ne pas|dernières|populaire|recommandé|le choix|à découvrir|dans la même)\b.{0,24}$",
+    r"^(?:lesetipps?|meistgelesen|heute beliebt|beliebt|mehr (?:zu|aus|von)|das könnte|auch interessant|ähnliche|weitere|unsere partner|von unseren|gesponserte?|empfohlen|top-?videos|videos? des tages|aus dem ressort|im trend|nicht verpassen|aktuelle?s?|neueste|außerdem)\b.{0,24}$",
     r"^(?:相关(?:阅读|新闻|报道)|热门|最新|推荐|猜你喜欢|更多|编辑推荐|视频精选|精选视频|今日|大家都在看|合作|热点|精选|往期|排行)[一-鿿]{0,8}[:：]?$",
 )
 # At least one of these is in a line that a cue not bound to the line's start fits.
