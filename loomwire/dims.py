@@ -5,10 +5,21 @@ from __future__ import annotations
 # Categories in display order with their signs.
 CATEGORIES = (("international", "🌍"), ("ai", "🤖"), ("football", "⚽"), ("realmadrid", "🤍"), ("f1", "🏎️"), ("mlb", "⚾"), ("tabletennis", "🏓"), ("shenzhen", "🏙️"))
 FALLBACK_SIGN = "📌"
-# Labels of the categories in CATEGORIES' order.
+# Labels of the categories in CATEGORIES' order, by language.
 LABELS = {
     "English": ("International", "AI & Tech", "Football", "Real Madrid", "Formula 1", "MLB", "Table Tennis", "Shenzhen"),
+    "Chinese": ("国际视野", "AI·大模型", "足球", "皇家马德里", "F1·赛车", "MLB·棒球", "乒乓球", "深圳·国内"),
+    "Spanish": ("Panorama Internacional", "IA y Tecnología", "Fútbol", "Real Madrid", "Fórmula 1", "MLB", "Tenis de Mesa", "Shenzhen"),
+    "French": ("International", "IA et Tech", "Football", "Real Madrid", "Formule 1", "MLB", "Tennis de Table", "Shenzhen"),
+    "German": ("International", "KI & Technik", "Fußball", "Real Madrid", "Formel 1", "MLB", "Tischtennis", "Shenzhen"),
+    "Italian": ("Internazionale", "IA e Tecnologia", "Calcio", "Real Madrid", "Formula 1", "MLB", "Tennistavolo", "Shenzhen"),
+    "Portuguese": ("Internacional", "IA e Tecnologia", "Futebol", "Real Madrid", "Fórmula 1", "MLB", "Tênis de Mesa", "Shenzhen"),
+    "Russian": ("Международные", "ИИ и технологии", "Футбол", "Реал Мадрид", "Формула 1", "MLB", "Настольный теннис", "Шэньчжэнь"),
+    "Japanese": ("国際情勢", "AI・テクノロジー", "サッカー", "レアル・マドリード", "F1", "MLB", "卓球", "深セン・国内"),
+    "Korean": ("국제", "AI & 테크", "축구", "레알 마드리드", "F1", "MLB", "탁구", "선전·국내"),
 }
+# Titles of a digest by language; English for the others.
+TITLES = {"English": "News Digest", "Chinese": "新闻摘要"}
 # Extractors of pages by source name and by host (with and without www.).
 EXTRACTOR_BY_NAME = {
     "BBC": "text_blocks", "BBC Sport": "text_blocks", "CNN": "component", "TechCrunch": "article_content", "Marca": "generic", "Managing Madrid": "generic",

@@ -13,7 +13,7 @@ from loomwire import dims
 from loomwire.functions.text import escape_markdown
 
 # Order of the parts of a short date by language.
-DATE_PATTERNS = {"English": "M/d, HH:mm", "German": "d.M., HH:mm", "French": "dd/MM HH:mm", "Spanish": "d/M, HH:mm", "Chinese": "M/d HH:mm"}
+DATE_PATTERNS = {"English": "M/d, HH:mm", "German": "d.M., HH:mm", "French": "dd/MM HH:mm", "Spanish": "d/M, HH:mm", "Chinese": "M/d HH:mm", "Italian": "d/M, HH:mm", "Portuguese": "dd/MM, HH:mm", "Russian": "dd.MM, HH:mm", "Japanese": "M/d HH:mm", "Korean": "M. d. HH:mm"}
 
 
 def _map(table: dict[str, str]) -> Column:
@@ -60,13 +60,13 @@ def format_sections(items: DataFrame, language: str = "English", zone: str = "UT
     return by.select("category", F.concat(head, F.array_join(F.transform("rows", lambda r: r["a"]), "\n\n")).alias("section"))
 
 
-def format_digest(items: DataFrame, categories: DataFrame, as_of: datetime, language: str = "English", zone: str = "UTC") -> DataFrame:
+def format_digest(items: DataFrame, categories: DataFrame, as_of: datetime, language: str = "English", zone: str = "UTC", title: str | None = None) -> DataFrame:
     """One row, text: header with the signs of all ``categories`` (also those without items), then the
     sections in display order."""
     sections = format_sections(items, language, zone)
     both = categories.select("category").distinct().join(sections, "category", "full")
     rows = both.agg(F.array_sort(F.collect_list(F.struct(category_order(F.col("category")).alias("o"), "category", "section"))).alias("rows"))  # one entry per category
-    prefix = "新闻简报" if language == "Chinese" else "News Briefing"
+    prefix = title or dims.TITLES.get(language, dims.TITLES["English"])
     stamp = F.date_format(F.from_utc_timestamp(F.lit(as_of), zone), "MM/dd/yyyy HH:mm")
     signs = F.array_join(F.transform(F.filter("rows", lambda r: r["o"] <= len(dims.CATEGORIES)), lambda r: _sign(r["category"])), "")
     head = F.concat(F.lit("📰 *"), escape_markdown(F.lit(prefix)), F.lit(" \\| "), escape_markdown(stamp), F.lit(" "), signs, F.lit("*"))

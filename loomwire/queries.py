@@ -450,7 +450,7 @@ SQL: dict[str, str] = {
     "format_article": f"SELECT item_id, {_ARTICLE} AS article FROM brief_news",
     "format_section": _sections_sql(_SHOWN),
     "format_digest": f"""WITH s AS ({_sections_sql(_SHOWN)}), c AS (SELECT coalesce(d.category, s.category) AS category, s.section FROM (SELECT DISTINCT category FROM category_dim) d FULL JOIN s ON d.category = s.category)
-      SELECT '📰 *News Briefing \\| ' || {_ESC.format(_q(AS_OF.strftime("%m/%d/%Y %H:%M")))} || ' ' || string_agg({_SIGN}, '' ORDER BY {_PLACE}, category) FILTER ({_PLACE} <= 8) || '*' || coalesce(chr(10) || chr(10) || string_agg(section, chr(10) || chr(10) ORDER BY {_PLACE}, category), '') AS text FROM c""".replace("\\\\|", "\\|"),
+      SELECT '📰 *News Digest \\| ' || {_ESC.format(_q(AS_OF.strftime("%m/%d/%Y %H:%M")))} || ' ' || string_agg({_SIGN}, '' ORDER BY {_PLACE}, category) FILTER ({_PLACE} <= 8) || '*' || coalesce(chr(10) || chr(10) || string_agg(section, chr(10) || chr(10) ORDER BY {_PLACE}, category), '') AS text FROM c""".replace("\\\\|", "\\|"),
     "reply_validate": "SELECT doc_id, (doc_id % 7 BETWEEN 2 AND 5) AND doc_id % 11 <> 0 AS ok FROM documents",
     "reply_match_by_id_or_pos": f"SELECT item_id, 'T' || (row_number() OVER (PARTITION BY category ORDER BY source_ord, item_ord, item_id) - 1) AS title FROM (SELECT * FROM {_SHOWN} QUALIFY row_number() OVER (PARTITION BY category, hash_id ORDER BY item_id) = 1)",
     "dedupe_by_event": """SELECT batch_item_id FROM batch_item b WHERE NOT EXISTS (SELECT 1 FROM brief_news n WHERE n.category = b.category AND n.hash_id = b.hash_id)

@@ -94,7 +94,7 @@ def test_digest(spark):
     df = frame(spark, dict(title="B.", source_date=AS_OF), dict(hash_id="n", title="No bullets", bullets=None), dict(hash_id="l", title="Later", source_date=AS_OF + timedelta(hours=1), item_ord=1))
     known = spark.createDataFrame([("ai",), ("f1",)], "category string")
     text = digest.format_digest(df, known, AS_OF).first()[0]
-    assert text == "📰 *News Briefing \\| 06/03/2025 12:00 🤖🏎️*\n\n🤖 *AI & Tech*\n• *Later* 6/3, 13:00 [S](https://a.example/1)\n  • a first bullet\n  • a second bullet\n\n• *B\\.* 6/3, 12:00 [S](https://a.example/1)\n  • a first bullet\n  • a second bullet"
+    assert text == "📰 *News Digest \\| 06/03/2025 12:00 🤖🏎️*\n\n🤖 *AI & Tech*\n• *Later* 6/3, 13:00 [S](https://a.example/1)\n  • a first bullet\n  • a second bullet\n\n• *B\\.* 6/3, 12:00 [S](https://a.example/1)\n  • a first bullet\n  • a second bullet"
 
 
 class Counting:
