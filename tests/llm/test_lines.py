@@ -82,3 +82,13 @@ def test_truncated(spark, rows):
     rate = truncation.truncation_rates(df).first()
     assert (rate.n_rows, rate.n_cut) == (15, 4) and abs(rate.share - 4 / 15) < 1e-12
     assert truncation.truncated(frame(spark)).count() == 0
+
+
+def test_near_and_removal(spark, rows):
+    names = ("Anna Bellon", "Rosa Vantik", "Lilo Dekker", "Karan Holt")
+    df = frame(spark, *[f"Story {w} of its own.\nWritten by {n} for Kelder on {i + 1} May\n\nAbout this paper" for i, (w, n) in enumerate(zip(("one", "two", "red", "odd"), names))], None, "")
+    assert rows(lines.recurrent_lines(df), "item_id", "line_no") == sorted([(i, 4) for i in range(4)], key=repr)
+    assert rows(lines.recurrent_lines(df, near=True), "item_id", "line_no") == sorted([(i, n) for i in range(4) for n in (2, 4)], key=repr)
+    clean = lines.without_recurrent_lines(df, near=True)
+    assert clean.columns == df.columns
+    assert {r.item_id: r.raw for r in clean.collect()} == {0: "Story one of its own.\n", 1: "Story two of its own.\n", 2: "Story red of its own.\n", 3: "Story odd of its own.\n", 4: None, 5: ""}
