@@ -27,7 +27,8 @@ def _history(given, services, options):
 
 def _dedupe(given, services, options):
     new = items.drop_known(given["items"], given["history"])
-    return {"new": ai.dedupe_by_event(new, given["history"], services["ai"]) if services.get("ai") else new}
+    # written once, so that a failing client fails this stage
+    return {"new": materialize(ai.dedupe_by_event(new, given["history"], services["ai"]), "new") if services.get("ai") else new}
 
 
 def _truncate(given, services, options):
@@ -35,8 +36,9 @@ def _truncate(given, services, options):
 
 
 def _read(given, services, options):
-    at = F.lit(options["as_of"])
-    return {"read": pages.read_items(given["items"], services["pages"], at, options.get("read_max_body_chars"))}
+    # written once: neither the pages nor the client of the stage before are asked again by what follows
+    read = pages.read_items(given["items"], services["pages"], F.lit(options["as_of"]), options.get("read_max_body_chars"))
+    return {"read": materialize(read, "read")}
 
 
 def _summarize(given, services, options):
