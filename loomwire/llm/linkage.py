@@ -2,10 +2,11 @@
 
 What has been accepted is kept as three tables in a folder: blocking keys of identity, address
 and title, bucketed by key, so that a batch is joined with them without moving them; statistics
-of title words; and the decisions on each batch, from which merges of clusters follow. A batch computes its own keys, probes the key table,
-compares the titles it meets, and adds the keys of what it accepts. The history's rows are read
-once, when the folder is filled for the first time. Equal titles share one entry, so a title that
-a third of all rows bear is one row of the table, and no group of rows is ever paired with itself.
+of title words; and the decisions on each batch, from which merges of clusters follow. A batch
+computes its own keys, probes the key table, compares the titles it meets, and adds the keys of
+what it accepts. The history's rows are read once, when the folder is filled for the first time.
+Equal titles share one entry, so a title that a third of all rows bear is one row of the table,
+and no group of rows is ever paired with itself.
 
 Agreement on the fields is weighted by Fellegi and Sunter's model, whose parameters are learned
 by expectation-maximisation from the counts of agreement patterns (at most twelve); the weights
