@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 
 from loomwire import ai
 from loomwire.operators import digest, items, pages
+from loomwire.operators.fetch import fetch_items
 from loomwire.plans.pipeline import ERROR_CODES, Pipeline, Stage
 from loomwire.scratch import materialize
 
 
+def _fetch(given, services, options):
+    return {"fetched": fetch_items(services["registry"], services["listings"], options["as_of"], given["categories"], services.get("resolved"), options.get("fetch_max_decode_items", 5))}
+
+
+#: First stage of a run that begins with the registry's listing pages instead of fetched items.
+FETCH = Stage("fetch_news", _fetch, {"categories": None}, ("fetched",), ERROR_CODES["fetch"])
+
+
 def _recency(name: str) -> Stage:
     def apply(given, services, options):
         return {"kept": items.filter_recency(given["items"], options["as_of"], options.get("filter_recency_td_hours", 24), keep_undated=options.get("keep_undated", False))}
@@ -67,12 +76,14 @@ def _success(given, services, options):
     return {"success": given["sent"] and given["saved"]}
 
 
-def news_pipeline(on_error=None, timeout: float | None = None) -> Pipeline:
+def news_pipeline(on_error=None, timeout: float | None = None, fetch: bool = False) -> Pipeline:
     """fetched → recency → less what is known → first of each category → page texts → recency → summaries →
     {digest → delivery, store} → success. Inputs: fetched, categories, channels; services: store, pages,
-    ai, sink; options: as_of and those of the stages."""
+    ai, sink; options: as_of and those of the stages. With ``fetch`` the items come from services
+    registry, listings and resolved, and fetched is no input."""
     return Pipeline(
         [
+            *([FETCH] if fetch else []),
             _recency("post_fetch_filter").map_input("items", "fetched").map_output("kept", "recent"),
             Stage("history_news", _history, {"categories": None}, ("history",), ERROR_CODES["history"]),
             Stage("dedupe_news", _dedupe, {"items": None, "history": None}, ("new",), ERROR_CODES["dedupe"]).map_input("items", "recent"),

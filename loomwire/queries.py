@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomwire import ai, dims
 from loomwire.functions import dates, text, urls
-from loomwire.operators import digest, items, pages, timestamps
+from loomwire.operators import digest, fetch, items, pages, timestamps
 from loomwire.plans.news import digest_of
 from loomwire.scratch import materialize, new_folder
 from loomwire.session import table
@@ -202,6 +202,14 @@ def _feed() -> Column:
     )
 
 
+def fetch_items(spark: SparkSession, d: str) -> DataFrame:
+    item = "<item><title>A story title</title><link>https://x.example/{}</link></item>"
+    registry = table(spark, d, "source_registry")
+    html = F.concat(F.replace(F.lit(item.format("@")), F.lit("@"), F.col("source_key")), F.lit(item.format("shared")))
+    snap = registry.where("kind = 'rss'").select("url", html.alias("html"))
+    return fetch.fetch_items(registry, snap, AS_OF).select("category", "url")
+
+
 def rss_parse(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_item").select("raw_id", _feed().alias("xml"))
     return listings.parse_feed(rows, "raw_id", "xml").select("raw_id", "item_ord", "url", "raw")
@@ -327,7 +335,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         pipeline_flagship, filter_recency, history_window, dedupe_by_id, first_wins_canonical, exact_text_dedupe, truncate_per_category, save_upsert, category_counts, merge_status,
         resolve_links, source_order, canonical_url, hash_id, is_article_url, aggregator_links, html_unescape, strip_tags_listing, strip_tags_body, collapse_ws, escape_markdown,
-        parse_source_date, extract_time, source_date_repair, *_BODIES, extract_text_blocks_marked, extract_component_marked, route_extractor, read_items, rss_parse, *_LISTINGS,
+        parse_source_date, extract_time, source_date_repair, *_BODIES, extract_text_blocks_marked, extract_component_marked, route_extractor, read_items, fetch_items, rss_parse, *_LISTINGS,
         format_article, format_section, format_digest, split_message, reply_validate, reply_match_by_id_or_pos, dedupe_by_event, stream_to_store, p6_found, p6_times,
     )
 }
@@ -445,6 +453,7 @@ SQL: dict[str, str] = {
     "extract_component_marked": f"SELECT doc_id, CASE WHEN source IS NULL THEN NULL WHEN length(repeat(source, 9)) > 50 THEN {_trim_sql('repeat(source, 9)')} ELSE '' END AS body FROM documents",
     "route_extractor": "SELECT extractor, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'generic' AS extractor, count(*) AS n FROM brief_news UNION ALL VALUES " + ", ".join(f"({_q(e)}, {n})" for e, n in _ROUTED.items()) + ") GROUP BY extractor",
     "read_items": "SELECT item_id, NOT EXISTS (SELECT 1 FROM brief_news b WHERE b.url = a.url AND b.raw_id IS NOT NULL AND b.item_id % 2 = 0) AS kept FROM brief_news a WHERE raw_id IS NOT NULL",
+    "fetch_items": "SELECT category, 'https://x.example/' || source_key AS url FROM source_registry WHERE kind = 'rss' UNION ALL SELECT DISTINCT category, 'https://x.example/shared' FROM source_registry WHERE kind = 'rss'",
     "rss_parse": f"SELECT raw_id, 0 AS item_ord, trim(url) AS url, CASE WHEN length({_trim_sql('repeat(source_name, 4)')}) > 40 THEN {_trim_sql('repeat(source_name, 4)')} END AS raw FROM raw_item WHERE length(coalesce({_unescape_sql('title')}, '')) > 5 AND url <> ''",
     **{f"listing_{n}": f"SELECT raw_id, 0 AS item_ord, 'A headline that is long enough no. ' || raw_id AS title, {u} AS url, {t} AS time, {c} AS category FROM raw_item" for n, (u, t, c) in _LISTING_SQL.items()},
     "format_article": f"SELECT item_id, {_ARTICLE} AS article FROM brief_news",
