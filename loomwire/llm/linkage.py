@@ -1,10 +1,11 @@
 """Duplicates of new batches against all history, by incremental record linkage (problem 2).
 
-What has been accepted is kept as three tables in a folder: blocking keys of identity, address
+What has been accepted is kept as four tables in a folder: blocking keys of identity, address
 and title, bucketed by key, so that a batch is joined with them without moving them; statistics
-of title words; and the decisions on each batch, from which merges of clusters follow. A batch
-computes its own keys, probes the key table, compares the titles it meets, and adds the keys of
-what it accepts. The history's rows are read once, when the folder is filled for the first time.
+of title words; the decisions on each batch; and the root of every representative whose cluster
+was merged with another. A batch computes its own keys, probes the key table, compares the titles
+it meets, adds the keys of what it accepts, and unites the clusters that one of its items links to:
+only the rows of clusters whose root changes are written again. The history's rows are read once, when the folder is filled for the first time.
 Equal titles share one entry, so a title that a third of all rows bear is one row of the table,
 and no group of rows is ever paired with itself.
 
@@ -71,6 +72,38 @@ def _entries(sig: DataFrame) -> DataFrame:
     return _keys(sig, "ikeys").groupBy("k", "v", "kind", "tags").agg(F.min("uid").alias("rep"))
 
 
+def _equal_rows(sig: DataFrame) -> DataFrame:
+    """a and b: different representatives of the keys of one row, by identity, address and the words of
+    the title, so that their clusters are one. The least uid with a key is its representative."""
+    words = sig.select("uid", "hash_id", "url", F.when(F.size("ikeys") > 0, F.regexp_replace("tags", "(^| ).", "$1")).alias("words"))
+    found = F.array(F.when(F.col("hash_id") != "", _exact_keys("h", "hash_id")), F.when(F.col("url").isNotNull(), _exact_keys("u", "url")), F.when(F.col("words").isNotNull(), _exact_keys("t", "words")))
+    keys = words.select("uid", F.filter(found, lambda x: x.isNotNull()).alias("keys")).select("uid", F.size("keys").alias("n"), F.inline("keys")).select("uid", "n", "k", "v")
+    shared = keys.groupBy(F.col("k").alias("k2"), F.col("v").alias("v2")).agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    by_row = keys.join(shared, (F.col("k") == F.col("k2")) & (F.col("v") == F.col("v2"))).groupBy("uid").agg(F.collect_set("rep").alias("reps"), F.count(F.lit(1)).alias("met"), F.min("n").alias("n"))
+    # a key that no other row has is the row's own
+    reps = F.when(F.col("met") < F.col("n"), F.array_union("reps", F.array("uid"))).otherwise(F.col("reps"))
+    return by_row.select(F.array_min(reps).alias("a"), F.explode(reps).alias("b")).where("a <> b").distinct()
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    """uid and root, the least uid of its component, of all ends of the pairs (a, b), by pointer jumping."""
+    links = materialize(pairs.select(F.col("a").alias("uid"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("uid"), F.col("a").alias("to"))).distinct(), "graph")
+    root = materialize(links.groupBy("uid").agg(F.least(F.min("to"), F.col("uid")).alias("root")), "roots")
+    while True:
+        far = root.select(F.col("uid").alias("x"), F.col("root").alias("r2"))
+        best = links.join(far, F.col("to") == F.col("x")).groupBy(F.col("uid").alias("n")).agg(F.min("r2").alias("m"))
+        step = root.join(best, F.col("uid") == F.col("n")).select("uid", F.col("root").alias("was"), F.least("root", "m").alias("to"))
+        jump = materialize(step.join(far, F.col("to") == F.col("x")).select("uid", "was", F.least("to", "r2").alias("root")), "roots")
+        root = jump.select("uid", "root")
+        if jump.where("root <> was").isEmpty():
+            return root
+
+
+def _named(uid: Column) -> Column:
+    """-1 - item_id of a history row, or the key of an item."""
+    return F.when(uid % 2 == 0, -1 - F.floor(uid / 2)).otherwise(F.floor(uid / 2))
+
+
 def _word_counts(sig: DataFrame) -> DataFrame:
     """word, lower, cap and german: in how many different titles a word stands in lower case, with a
     capital, and with a capital in a German one."""
@@ -142,7 +175,8 @@ class HistoryLinker:
             columns = "k BIGINT, v BIGINT, kind STRING, tags STRING, rep BIGINT"
             spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY (k) SORTED BY (k) INTO {self.buckets} BUCKETS LOCATION '{root}/keys'")
         self.weights: list[dict[int, float]] | None = None
-        self.decided: list[tuple[DataFrame, DataFrame]] = []
+        if root and _exists(spark, f"{root}/buckets") and not _exists(spark, f"{root}/roots"):
+            self._write_roots(spark.range(0).select(F.col("id").alias("uid"), F.col("id").alias("root")))
 
     def _append(self, sig: DataFrame) -> None:
         entries = _entries(sig).repartition(self.buckets, "k")
@@ -155,8 +189,40 @@ class HistoryLinker:
         sig = materialize(_signatures(history, F.col(key) * 2, False).drop("pkeys"), "history")
         self._append(sig)
         _word_counts(sig).write.parquet(f"{self.root}/words")
+        pairs = materialize(_equal_rows(sig), "pairs")
+        self._write_roots(pairs.select(F.col("a").alias("uid"), F.col("b").alias("root")) if pairs.isEmpty() else _components(pairs))
         self.spark.range(1).select(F.lit(self.buckets).alias("n")).write.parquet(f"{self.root}/buckets")
 
+    def _write_roots(self, changed: DataFrame) -> None:
+        changed.write.mode("append").parquet(f"{self.root}/roots")
+
+    def _stored_roots(self) -> DataFrame:
+        """uid and root as they were written; roots only fall, so the least one of a uid holds."""
+        return self.spark.read.schema("uid bigint, root bigint").parquet(f"{self.root}/roots")
+
+    def _unite(self, pairs: DataFrame) -> None:
+        """Merges the clusters of a and b. Looked up are the roots of the ends of ``pairs``, written are
+        these and the members of clusters whose root changes."""
+        if pairs.isEmpty():
+            return
+        stored = self._stored_roots()
+        ends = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
+        now = materialize(ends.join(stored, F.col("e") == F.col("uid"), "left").groupBy("e").agg(F.coalesce(F.min("root"), F.col("e")).alias("r")), "ends")
+        a, b = now.select(F.col("e").alias("ea"), F.col("r").alias("ra")), now.select(F.col("e").alias("eb"), F.col("r").alias("rb"))
+        apart = pairs.join(a, F.col("a") == F.col("ea")).join(b, F.col("b") == F.col("eb")).where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        moved = _components(apart)
+        # a root that stands is stored with no other root, so whoever has it in any row is a member
+        sunk = moved.where("uid <> root").select(F.col("uid").alias("old"), F.col("root").alias("new"))
+        members = stored.join(sunk, F.col("root") == F.col("old")).select("uid", F.col("new").alias("root"))
+        # written aside first, since the stored table is read for it
+        self._write_roots(materialize(moved.unionByName(members).distinct(), "changed"))
+
+    def with_roots(self, linked: DataFrame) -> DataFrame:
+        """``linked``, as of :meth:`link_signatures`, with root: the name of the cluster of rep, which is the
+        member with the least number inside, as merged so far."""
+        roots = self._stored_roots().groupBy("uid").agg(F.min("root").alias("to")).select(_named(F.col("uid")).alias("of"), _named(F.col("to")).alias("to"))
+        return linked.join(roots, F.col("rep") == F.col("of"), "left").withColumn("root", F.coalesce("to", "rep")).drop("of", "to")
+
     def signatures(self, batch: DataFrame, key: str = "batch_item_id", *keep: str) -> DataFrame:
         """Signatures of the items of one or more batches, written once; repeated keys are read once."""
         rows = batch.dropDuplicates([key]).where(F.col(key).isNotNull())
@@ -167,20 +233,20 @@ class HistoryLinker:
 
     def link(self, batch: DataFrame, key: str = "batch_item_id") -> DataFrame:
         """Probes the history with a batch and accepts what is new. Returns ``key``, rep (its
-        representative: -1 - item_id of a history row, or the ``key`` of an item), score and is_case
-        for each item of the batch, which is ordered by ``key``."""
-        return self.link_signatures(self.signatures(batch, key), key)
+        representative: -1 - item_id of a history row, or the ``key`` of an item), score, is_case, n_links
+        (the representatives that it agrees with) and root (of its cluster, named as rep is) for each
+        item of the batch, which is ordered by ``key``."""
+        return self.with_roots(self.link_signatures(self.signatures(batch, key), key))
 
     def link_signatures(self, sig: DataFrame, key: str = "batch_item_id") -> DataFrame:
-        """As :meth:`link`, from :meth:`signatures`."""
+        """As :meth:`link`, from :meth:`signatures`, without the root, which :meth:`with_roots` adds."""
         links = self._links(sig)
-        cases = self._cases(sig, links)
+        cases, good = self._cases(sig, links)
         accepted = sig.join(cases.where("is_case").select(F.col("uid").alias("cu")), F.col("uid") == F.col("cu"), "left_anti")
         self._append(accepted)
-        self.decided.append((links, cases))
-        rep = F.coalesce("rep", "uid")
-        name = F.when(rep % 2 == 0, -1 - F.floor(rep / 2)).otherwise(F.floor(rep / 2))
-        return cases.select(F.floor(F.col("uid") / 2).alias(key), name.alias("rep"), "score", "is_case")
+        several = cases.where("is_case and n_links > 1").select(F.col("uid").alias("c"), F.col("rep").alias("a"))
+        self._unite(materialize(good.join(several, F.col("uid") == F.col("c")).where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs"))
+        return cases.select(F.floor(F.col("uid") / 2).alias(key), _named(F.coalesce("rep", "uid")).alias("rep"), "score", "is_case", "n_links")
 
     def _links(self, sig: DataFrame) -> DataFrame:
         """uid, rep, inner, kind, score of all agreements, exact and near. rep is a representative of the
@@ -216,8 +282,8 @@ class HistoryLinker:
         score = sum((F.element_at(F.array(*[F.lit(w[x]) for x in sorted(w)]), F.col(c) + 1) for c, w in zip("hut", weights)), F.lit(0.0))
         return fields.select("uid", "rep", "inner", F.explode("kinds").alias("kind"), score.alias("score"))
 
-    def _cases(self, sig: DataFrame, links: DataFrame) -> DataFrame:
-        """uid, rep, score, is_case. An item with a link into the history is a case. Links within the batch
+    def _cases(self, sig: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """uid, rep, score, is_case, n_links, and all links to something accepted. An item with a link into the history is a case. Links within the batch
         lead to groups of items with the same key or title, named by their first item; an item is a case
         if a group that it links to has an earlier item that is none. Decided in rounds: an item is
         accepted when its groups have no earlier item left, and a case when the earliest left in one
@@ -259,37 +325,18 @@ class HistoryLinker:
             first = left.groupBy(F.col("kind").alias("fk"), F.col("rep").alias("g")).agg(F.min("m").alias("first"))
             within = links.where("inner").join(first, (F.col("kind") == F.col("fk")) & (F.col("rep") == F.col("g"))).where("first < uid").select("uid", F.col("first").alias("rep"), "score")
             good = good.unionByName(within)
-        best = good.groupBy(F.col("uid").alias("b")).agg(F.max_by(F.struct("rep", "score"), F.struct("score", -F.col("rep"))).alias("best"))
+        best = good.groupBy(F.col("uid").alias("b")).agg(F.max_by(F.struct("rep", "score"), F.struct("score", -F.col("rep"))).alias("best"), F.count_distinct("rep").alias("n"))
         out = sig.select("uid").join(case, F.col("uid") == F.col("c"), "left").join(best, F.col("uid") == F.col("b"), "left")
         is_case = F.col("c").isNotNull()
-        return materialize(out.select("uid", F.when(is_case, F.col("best.rep")).alias("rep"), F.when(is_case, F.col("best.score")).alias("score"), is_case.alias("is_case")), "decided")
-
-    def merges(self) -> DataFrame:
-        """a and b: representatives that one item of a batch links to, so that their clusters are one."""
-        out = None
-        for links, cases in self.decided:
-            known = links.where("not inner").select("uid", "rep").unionByName(cases.where("is_case").select("uid", "rep")).distinct()
-            least = known.groupBy("uid").agg(F.min("rep").alias("a"))
-            pairs = known.join(least, "uid").where("a <> rep").select("a", F.col("rep").alias("b"))
-            out = pairs if out is None else out.unionByName(pairs)
-        return out.distinct()
+        decided = out.select("uid", F.when(is_case, F.col("best.rep")).alias("rep"), F.when(is_case, F.col("best.score")).alias("score"), is_case.alias("is_case"), F.when(is_case, F.col("n")).otherwise(0).alias("n_links"))
+        path = f"{self.root}/decisions/{uuid.uuid4().hex}"
+        decided.write.parquet(path)
+        return self.spark.read.schema(decided.schema).parquet(path), good
 
     def clusters(self) -> DataFrame:
-        """uid and root of every representative that has been merged: union-find by pointer jumping over
-        the merges alone, log-many rounds."""
-        pairs = self.merges().select(F.col("b").alias("uid"), F.col("a").alias("to"))
-        links = materialize(pairs.unionByName(pairs.select(F.col("to").alias("uid"), F.col("uid").alias("to"))).distinct(), "graph")
-        root = links.groupBy("uid").agg(F.least(F.min("to"), F.col("uid")).alias("root"))
-        while True:
-            root = materialize(root, "roots")
-            a, b = root.alias("a"), root.select(F.col("uid").alias("x"), F.col("root").alias("r2"))
-            best = links.join(b, F.col("to") == F.col("x")).groupBy(F.col("uid").alias("n")).agg(F.min("r2").alias("m"))
-            step = a.join(best, F.col("uid") == F.col("n")).select("uid", F.least("root", "m").alias("root"))
-            jump = step.join(b, F.col("root") == F.col("x")).select("uid", F.least(step["root"], F.col("r2")).alias("root"))
-            jump = materialize(jump, "jump")
-            if jump.join(root.withColumnRenamed("root", "was"), "uid").where("root <> was").isEmpty():
-                return root.select(F.floor(F.col("uid") / 2).alias("id"), (F.col("uid") % 2 == 1).alias("of_batch"), F.floor(F.col("root") / 2).alias("root_id"), (F.col("root") % 2 == 1).alias("root_of_batch"))
-            root = jump
+        """id and root_id of every representative that has been merged, and whether each is of a batch."""
+        roots = self._stored_roots().groupBy("uid").agg(F.min("root").alias("root"))
+        return roots.select(F.floor(F.col("uid") / 2).alias("id"), (F.col("uid") % 2 == 1).alias("of_batch"), F.floor(F.col("root") / 2).alias("root_id"), (F.col("root") % 2 == 1).alias("root_of_batch"))
 
     def close(self) -> None:
         """Forgets the table's name; its files stay."""
@@ -303,7 +350,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def link_batches(history: DataFrame, batches: DataFrame, batch_no: str = "batch_no", key: str = "batch_item_id") -> DataFrame:
     """All batches in the order of ``batch_no`` against ``history`` and what was accepted before; columns
-    as of :meth:`HistoryLinker.link`. The numbers of the batches are the only thing collected."""
+    as of :meth:`HistoryLinker.link`, with the roots after the last batch. The numbers of the batches are the only thing collected."""
     linker = HistoryLinker(history.sparkSession)
     linker.bootstrap(history)
     numbers = [r[0] for r in batches.select(batch_no).where(F.col(batch_no).isNotNull()).distinct().orderBy(batch_no).collect()]
@@ -314,5 +361,5 @@ def link_batches(history: DataFrame, batches: DataFrame, batch_no: str = "batch_
         out = one if out is None else out.unionByName(one)
     linker.close()
     if out is None:
-        out = batches.select(F.col(key), F.lit(0).cast("bigint").alias("rep"), F.lit(0.0).alias("score"), F.lit(False).alias("is_case"), F.col(batch_no)).where("false")
-    return out
+        out = batches.select(F.col(key), F.lit(0).cast("bigint").alias("rep"), F.lit(0.0).alias("score"), F.lit(False).alias("is_case"), F.lit(0).cast("bigint").alias("n_links"), F.col(batch_no)).where("false")
+    return linker.with_roots(out)

@@ -75,6 +75,38 @@ def test_clusters(spark):
     linker.close()
 
 
+def test_links_of_all_kinds_unite(spark, rows):
+    known = history(spark, ("h0", "https://a.example/0", "A", "S"), ("h1", "https://a.example/1", T, "S"), ("h2", "https://a.example/2", "C", "S"), ("h2", "https://a.example/3", "D", "S"), ("h4", "https://a.example/4", "E", "S"))
+    new = batches(
+        spark,
+        (1, "h1", None, "V", "S"),  # known by identity alone
+        (1, "h0", None, T.lower(), "S"),  # by identity and title: 0 and 1 are one
+        (2, None, "https://a.example/3", "W", "S"),  # 3 has the identity of 2
+        (2, "h7", None, "An item of its own that 3 people saw", "S"),
+        (3, "h7", "https://a.example/2", "X", "S"),  # an accepted item and 2 are one
+        (3, "h1", "https://a.example/3", "Y", "S"),  # and so are the clusters of 1 and 2
+        (3, "h9", None, "Z", "S"),
+    )
+    linked = linkage.link_batches(known, new)
+    assert rows(linked, "batch_item_id", "is_case", "n_links", "root") == [(0, True, 1, -1), (1, True, 2, -1), (2, True, 1, -1), (3, False, 0, -1), (4, True, 2, -1), (5, True, 2, -1), (6, False, 0, 6)]
+
+
+def test_roots_are_kept(spark, tmp_path):
+    root = f"file://{tmp_path}/linkage"
+    first = linkage.HistoryLinker(spark, root)
+    first.bootstrap(history(spark, *[(f"h{i}", f"https://a.example/{i}", "ABCD"[i], "S") for i in range(4)]))
+    assert first.clusters().count() == 0
+    for one in ((1, "h1", "https://a.example/2", "X", "S"), (1, "h3", None, "Y", "S")):
+        first.link(batches(spark, one))
+    first.close()
+    again = linkage.HistoryLinker(spark, root)
+    got = again.link(batches(spark, (2, "h0", "https://a.example/2", "Z", "S")).withColumn("batch_item_id", linkage.F.lit(9)))
+    assert [(r.n_links, r.root) for r in got.collect()] == [(2, -1)]
+    assert {(r.id, r.root_id) for r in again.clusters().collect()} == {(0, 0), (1, 0), (2, 0)}
+    assert spark.read.parquet(f"{root}/decisions/*").count() == 3
+    again.close()
+
+
 def test_weights_order():
     w, p = linkage.agreement_weights([((1, 1, 2), 50), ((1, 0, 0), 5), ((0, 0, 1), 30), ((0, 0, 0), 1000)])
     assert all(x[1] > x[0] for x in w) and w[2][2] > w[2][0] and 0 < p < 1
