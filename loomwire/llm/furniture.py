@@ -226,7 +226,7 @@ def _cached(line: str, outlet: str) -> float:
     return ratio(line, 0.0, outlet)
 
 
-_DIGITS = re.compile(r"\d+")
+_DIGIT = re.compile(r"\d")
 
 
 def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -255,8 +255,9 @@ def line_ratios(text: str, outlet: str = "", parser: _Events | None = None) -> t
     if not rows:
         return [], np.empty(0)
     name = outlet.casefold().strip()
-    # lines that recur but for their numbers are measured once
-    r = np.array([_cached(_DIGITS.sub("7", lines[i]) if len(lines[i]) <= LONGEST else "x" * (LONGEST + 1), name) if tags is None or not tags[i] else ratio(lines[i], tags[i], name) for i in rows])
+    # lines that recur but for their digits are measured once; run lengths stay, and so do the digits if the outlet's name has some
+    folded = (lambda x: x) if _DIGIT.search(name) else (lambda x: _DIGIT.sub("7", x))
+    r = np.array([_cached(folded(lines[i]) if len(lines[i]) <= LONGEST else "x" * (LONGEST + 1), name) if tags is None or not tags[i] else ratio(lines[i], tags[i], name) for i in rows])
     return rows, r
 
 

@@ -73,6 +73,13 @@ def test_markup_counts_as_tags():
     assert list(zip(n, b))[:2] == [(1, False), (2, True)]
 
 
+def test_digits_count():
+    at = lambda line, outlet="": furniture.line_ratios(f"{ARTICLE}\n{line}", outlet)[1][1]
+    assert at("(c) 2024 Ruskby") == at("Ruskby Verlag 2025 - Kelder") == furniture.LOW
+    assert at("12:30 Anna Bell leaves the room") == furniture.HIGH
+    assert at("All of it from Kanal 42 Heute", "Kanal 42 Heute") == furniture.LOW < at("All of it from Kanal 43 Heute", "Kanal 42 Heute")
+
+
 def test_truncated(spark, rows):
     whole = [f"{ARTICLE} The {w} was late again for the second time this month." for w in ("train", "tram", "bus", "boat", "plane", "mail", "milk", "band")]
     cut = [f"{ARTICLE} The {w} was late again for the seco" for w in ("cook", "cat")] + [f"{ARTICLE} The clown was late again for…", f"{ARTICLE} The cow was late <"]
