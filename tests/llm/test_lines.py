@@ -99,3 +99,58 @@ def test_near_and_removal(spark, rows):
     clean = lines.without_recurrent_lines(df, near=True)
     assert clean.columns == df.columns
     assert {r.item_id: r.raw for r in clean.collect()} == {0: "Story one of its own.\n", 1: "Story two of its own.\n", 2: "Story red of its own.\n", 3: "Story odd of its own.\n", 4: None, 5: ""}
+
+
+def test_near_lines(spark, rows):
+    """Recall of near lines against all pairs: a line counts if, with those at least as similar as SIMILAR to it
+    by their masked words, it is in enough rows."""
+    import random
+
+    r = random.Random(5)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    bases = [" ".join(r.sample(vocabulary, r.randint(8, 20))) for _ in range(30)]
+    texts = []
+    for i in range(120):
+        mine = []
+        for b in r.sample(bases, 4):
+            words = b.split()
+            if r.random() < 0.5:
+                words[r.randrange(len(words))] = r.choice(vocabulary)  # one word is another
+            mine.append(" ".join(words))
+        texts.append("\n".join([" ".join(r.sample(vocabulary, 12)), *mine]))
+    df = frame(spark, *texts)
+    words = {x: frozenset(x.split()) for t in texts for x in t.split("\n")}
+    alike = {a: [b for b in words if len(words[a] & words[b]) >= lines.SIMILAR * len(words[a] | words[b])] for a in words}
+    of = {x: {i for i, t in enumerate(texts) if x in t.split("\n")} for x in words}
+    want = {(i, n) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n"), 1) if len(set().union(*(of[y] for y in alike[x]))) >= 0.05 * len(texts)}
+    got = set(rows(lines.recurrent_lines(df, near=True), "item_id", "line_no"))
+    assert len(want) > 400 and len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
+    assert set(rows(lines.recurrent_lines(df), "item_id", "line_no")) <= got
+
+
+def test_masked_lines_are_near(spark, rows):
+    texts = [f"Own words of text {chr(97 + i)}\nReported by {n} {m}, published on {i + 3} {d} 20{10 + i}" for i, (n, m, d) in enumerate([("Anna", "Bellon", "may"), ("Rosa", "Vantik", "march"), ("Yaran", "Didafune", "april"), ("Lisel", "Hosehune", "june")])]
+    assert rows(lines.recurrent_lines(frame(spark, *texts), near=True), "item_id", "line_no") == [(i, 2) for i in range(4)]
+    assert lines.recurrent_lines(frame(spark, *texts)).count() == 0
+
+
+def test_residue_of_any_case_and_length(spark, rows):
+    story = "\n\n".join(ARTICLE for _ in range(20))
+    stand_in = ["text here", "your text here", "replace this text", "blindtext", "aquí va el texto", "placeholder text", "lorem ipsum dolor sit amet", "hier steht ihr blindtext", "texte à remplacer", "sample copy", "texto de relleno"]
+    cases = [f"{story}\n{x}\n{ARTICLE}" for w in stand_in for x in (w, w.upper(), w.title(), w.swapcase())]
+    cases += ["Access denied\n" + "Please try again or contact the site owner with the number of this request.\n" * 12, "Traceback (most recent call last):\n" + 'File "view.py", line 7, in show\n' * 30]
+    cases += [f"{ARTICLE}\n404 Not Found\nnginx", "Pulvis sanum quereb morit rhonca nostru velas ornatu."]
+    own = "\n".join(f"In town {chr(97 + i)} the mayor said that it was so." for i in range(20))  # the story recurs here
+    fine = [story, f"{own}\nSorry, said the mayor, but the page was not found.", f"{story}\n410 comments - join the discussion on Sport"]
+    assert sorted(i for i, in rows(residue.residue(frame(spark, *cases, *fine)), "item_id")) == list(range(len(cases)))
+
+
+def test_needed_strings_are_implied():
+    from loomwire.llm import literals
+
+    for pattern in (residue.SLOT, residue.UNSET, residue.STAND_IN.removeprefix("(?i)"), residue.SCRIPT_WORDS):
+        for part in literals.alternatives(pattern):
+            assert literals.required(part)
+    f = literals.Finder([r"\b(?:read|see) (?:more|also)\b", r"co+kies?\b", r"[xX]y{2,}z"])
+    assert f.candidates("SEE ALSO the Cookies") == {0, 1} and f.candidates("xyyyyz") == {2} and not f.any("read on")
+    assert literals.required("a(?:bc|bd)?e") == {"abce", "abde", "ae"} and literals.required("a.*bcd") == {"bcd"}
