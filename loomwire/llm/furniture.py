@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwire.llm.literals import Finder, alternatives
 from loomwire.llm.residue import residue
 
 #: Width of the Gaussian in lines.
@@ -77,50 +78,23 @@ CUES = (
     r"^(?:lesetipps?|meistgelesen|heute beliebt|beliebt|mehr (?:zu|aus|von)|das könnte|auch interessant|ähnliche|weitere|unsere partner|von unseren|gesponserte?|empfohlen|top-?videos|videos? des tages|aus dem ressort|im trend|nicht verpassen|aktuelle?s?|neueste|außerdem)\b.{0,24}$",
     r"^(?:相关(?:阅读|新闻|报道)|热门|最新|推荐|猜你喜欢|更多|编辑推荐|视频精选|精选视频|今日|大家都在看|合作|热点|精选|往期|排行)[一-鿿]{0,8}[:：]?$",
 )
-# At least one of these is in a line that a cue not bound to the line's start fits.
-STEMS = (
-    "© (c) rights rechte derechos droits 版权 未经 转载 privacy impressum datenschutz aviso privacidad mentions priv 隐私 联系 网站地图 responsible reproduced copied rewritten republished "
-    "written offered kept nachdruck vervielf prohíbe permiso responsable reproduction sans übernimmt 不承担 书面 media publishing grupo verlag groupe 传媒 报业 cookie technolog tecnolog "
-    "kleine petits propios small partner socios partenaires dienste 合作 accept aceptar akzeptieren newsletter boletín boletines rundbrief lettre reciba 订阅 简报 subscrib suscr abonn monat mois mes "
-    "month cancel alert benachrichtig briefing leser shares partages compartid beitrag geteilt 次分享 pierdas tout verpassen 不错过 扫码 下载 download descargue téléchargez laden comment kommentar "
-    "coment 评论 discussion registered conversación tip? desk pista dato información information écrivez hinweis 线索 核对 updated modified prices precios prix preise 本文 广告 推广 赞助 "
-    "pool getty agency 摄 返回顶部 following"
-).split()
-
-
-def _alternatives(pattern: str) -> list[str]:
-    """The alternatives of a pattern outside its brackets."""
-    out, depth, at, i = [], 0, 0, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            i += 1
-        elif c in "([":
-            depth += 1
-        elif c in ")]":
-            depth -= 1
-        elif c == "|" and not depth:
-            out.append(pattern[at:i])
-            at = i + 1
-        i += 1
-    return [*out, pattern[at:]]
-
-
-_PARTS = [a for c in CUES for a in _alternatives(c)]
-_AT_START = re.compile("|".join(f"(?:{a})" for a in _PARTS if a.startswith("^")), re.I)
-_WITHIN = re.compile("|".join(f"(?:{a})" for a in _PARTS if not a.startswith("^")), re.I)
+_CUES = [c for cue in CUES for c in alternatives(cue)]
+_FINDER = Finder(_CUES)
+_CUES = [re.compile(c, re.I) for c in _CUES]
+
+
+def n_cues(line: str) -> int:
+    """How often CUES fit in ``line``; only those are tried of which a string that they need is there."""
+    return sum(sum(1 for _ in _CUES[i].finditer(line)) for i in _FINDER.candidates(line))
 
 
 def has_cue(line: str) -> bool:
     """Whether one of the CUES fits ``line``."""
-    if _AT_START.match(line):
-        return True
-    low = line.lower()
-    return any(x in low for x in STEMS) and _WITHIN.search(line) is not None
+    return any(_CUES[i].search(line) for i in _FINDER.candidates(line))
 
 
-#: Longest line, in characters, that can be furniture if no real tag is in it.
-LONGEST = 260
+#: From this length, in characters, a line is a paragraph: a cue in it is one tag among so much text.
+PARAGRAPH = 260
 #: Longest line in which the outlet's name counts, and the shortest such name, unless it is Chinese.
 _OUTLET_SHORT, _OUTLET_LEAST = 140, 6
 
@@ -174,8 +148,8 @@ class _Events(HTMLParser):
 def left_tags(line: str, outlet: str) -> float:
     """Number of tags that the marks left in ``line`` stand for: 0 in prose, 1 or more in furniture."""
     x = line.strip()
-    if len(x) > LONGEST:
-        return 0.0
+    if len(x) > PARAGRAPH:
+        return n_cues(x) * PARAGRAPH / len(x)
     if has_cue(x) or _BYLINE.match(x):
         return 2.0
     if _BULLET.match(x):
@@ -202,13 +176,13 @@ def ratio(line: str, tags: float, outlet: str) -> float:
     sentences and bear no mark stand between: long ones like headlines below, short ones like
     sub-headings above the middle; their neighbours decide."""
     n = left_tags(line, outlet) + tags
+    x = line.strip()
+    if len(x) > PARAGRAPH:
+        return HIGH / (1 + n)
     if n >= 2:
         return LOW
-    x = line.strip()
     if n >= 1.5:
         return 0.2
-    if len(x) > LONGEST:
-        return HIGH / (1 + n)
     han = len(_CJK.findall(x))
     size = han + len(_WORD.findall(x))
     if _END.search(x) or _SCORE.match(x) or _BULLET.match(x) or _LIVE.match(x):
@@ -257,22 +231,11 @@ def line_ratios(text: str, outlet: str = "", parser: _Events | None = None) -> t
     name = outlet.casefold().strip()
     # lines that recur but for their digits are measured once; run lengths stay, and so do the digits if the outlet's name has some
     folded = (lambda x: x) if _DIGIT.search(name) else (lambda x: _DIGIT.sub("7", x))
-    r = np.array([_cached(folded(lines[i]) if len(lines[i]) <= LONGEST else "x" * (LONGEST + 1), name) if tags is None or not tags[i] else ratio(lines[i], tags[i], name) for i in rows])
+    # paragraphs hardly ever recur, so they are measured as they are
+    r = np.array([_cached(folded(lines[i]), name) if len(lines[i]) <= PARAGRAPH and (tags is None or not tags[i]) else ratio(lines[i], 0.0 if tags is None else tags[i], name) for i in rows])
     return rows, r
 
 
-def ends_as_text(text: str, outlet: str = "", parser: _Events | None = None) -> bool:
-    """Whether the last non-blank line is running text of the article: not furniture, a score or an item
-    of a list, nor one of several lines like headlines."""
-    rows, r = line_ratios(text, outlet, parser)
-    if len(r) == 0 or r[-1] <= 0.2:
-        return False
-    last = text.split("\n")[rows[-1]].strip()
-    if _SCORE.match(last) or _BULLET.match(last):
-        return False
-    return bool(r[-1] >= HIGH or len(r) == 1 or not 0.2 <= r[-2] <= 0.3)
-
-
 def body_mask(text: str, outlet: str = "", sigma: float = SIGMA, parser: _Events | None = None) -> tuple[list[int], list[bool]]:
     """Numbers (from 1) of the non-blank lines of ``text``, and whether each belongs to the body."""
     rows, r = line_ratios(text, outlet, parser)
@@ -280,9 +243,7 @@ def body_mask(text: str, outlet: str = "", sigma: float = SIGMA, parser: _Events
         return [], []
     if (len(r) == 1 or r[-2] >= HIGH) and 0.2 < r[-1] < HIGH:
         r[-1] = UNENDED  # after a paragraph or alone, the last line is one that was cut rather than a headline
-    s = _smooth(r, sigma)
-    sure = (r >= 0.9) | (r <= 0.1)
-    mixed = np.where(sure, r, 0.5 * r + 0.5 * s)
+    mixed = 0.5 * r + 0.5 * _smooth(r, sigma)
     t = _threshold(mixed)
     return [i + 1 for i in rows], [bool(x) for x in mixed >= t]
 
@@ -312,20 +273,6 @@ def line_classes(df: DataFrame, text: str = "raw", key: str = "item_id", source:
     return src.mapInArrow(run, f"k {kind}, line_no int, is_body boolean").withColumnRenamed("k", key)
 
 
-def text_endings(df: DataFrame, text: str = "raw", key: str = "item_id", source: str = "source_name") -> DataFrame:
-    """``key`` of the rows of which :func:`ends_as_text` holds; null and empty texts have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _Events()
-        for batch in batches:
-            found = [ends_as_text(t, o or "", parser) for t, o in zip(batch.column("t").to_pylist(), batch.column("o").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("k").filter(pa.array(found, pa.bool_()))], ["k"])
-
-    kind = df.schema[key].dataType.simpleString()
-    src = df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("o"), F.col(text).alias("t")).where("t is not null and t <> ''")
-    return src.mapInArrow(run, f"k {kind}").withColumnRenamed("k", key)
-
-
 def furniture_lines(df: DataFrame, text: str = "raw", key: str = "item_id", source: str = "source_name") -> DataFrame:
     """``key``, line_no of the non-blank lines that are not main body; records that
     :func:`loomwire.llm.residue.residue` names have none. See :func:`line_classes`."""

@@ -81,8 +81,8 @@ def _of(tree) -> set[str] | None:
                 continue
         elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT, _c.POSSESSIVE_REPEAT):
             low, high, inner = av
-            if low == high == 1:
-                exact = _whole(inner)
+            if (low, high) == (0, 1):
+                exact = _whole([(op, av)])
             if exact is None:
                 close()
                 if low >= 1:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomwire.functions.urls import host
 from loomwire.llm.lines import MIN_ROWS, MIN_SHARE, frequent_lines, line_identity
-from loomwire.llm.literals import Finder
+from loomwire.llm.literals import Finder, alternatives, required
 
 #: Least share of the sentences of a residual that are text of an error page or notice.
 PAGE_SHARE = 1 / 3
@@ -82,23 +82,31 @@ AFTER = (
 _IN_PART = {"slot": re.compile(SLOT), "filler": re.compile(STAND_IN), "error": re.compile(STATUS, re.I)}
 _UNSET, _PAGE, _AFTER, _SCRIPT_WORD = re.compile(UNSET), re.compile(PAGE), re.compile(AFTER, re.I), re.compile(SCRIPT_WORDS, re.I)
 _DEMAND, _FOR_COMMENTS = re.compile(DEMAND, re.I), re.compile(FOR_COMMENTS, re.I)
-_FILLER = frozenset(FILLER.split())
+_FILLER, _FUNCTION = frozenset(FILLER.split()), frozenset(FUNCTION.split())
 _WORD = re.compile(r"[^\W\d_]+")
-_LATIN = re.compile(r"[a-zà-ÿ]", re.I)
-_FUNCTION = re.compile(rf"\b(?:{'|'.join(sorted(set(FUNCTION.split())))})\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+#: A line that begins with the code of an answer.
+_CODE = re.compile(r"\W*(?:http )?(?:error |status )*(?:code )?[45]\d\d\b", re.I)
+_STOPS = str.maketrans(".,;:!?", "      ")
+
+
+def _page_parts() -> list[str]:
+    """The alternatives of PAGE and STATUS that do not begin with a code, which need strings of their own."""
+    page = alternatives(PAGE[PAGE.index("(?:") + 3 : -1])
+    return [x for x in (*page, *alternatives(STATUS)) if not any(s.isdigit() or s == "http " for s in required(x)) and "[45]" not in x]
 
 
 def is_filler(line: str) -> bool:
     """Whether a line is pseudo-Latin: by its words, or because it reads like prose without one function
     word of the languages written here."""
-    if _FUNCTION.search(line) or not _LATIN.search(line):
-        known = [w for w in _FILLER if w in line.lower()] and _WORD.findall(line.lower())
-        return bool(known) and len(known) >= FILLER_WORDS and sum(w in _FILLER for w in known) >= FILLER_SHARE * len(known)
-    words = _WORD.findall(line)
-    if len(words) >= FILLER_WORDS and sum(w.lower() in _FILLER for w in words) >= FILLER_SHARE * len(words):
+    words = line.lower().translate(_STOPS).split()
+    prose = _FUNCTION.isdisjoint(words) and len(words) >= PROSE_WORDS
+    if not prose and _FILLER.isdisjoint(words):
+        return False
+    known = _WORD.findall(line)
+    if len(known) >= FILLER_WORDS and sum(w.lower() in _FILLER for w in known) >= FILLER_SHARE * len(known):
         return True
-    return len(words) >= PROSE_WORDS and sum(w[0].islower() for w in words) >= LOWER_SHARE * len(words)
+    return prose and len(known) >= PROSE_WORDS and sum(w[0].islower() for w in known) >= LOWER_SHARE * len(known)
 
 
 def in_part(line: str) -> str | None:
@@ -131,16 +139,16 @@ def _suspects(df: DataFrame, text: str, key: str, source: str) -> DataFrame:
     all non-blank lines of the texts of which one line bears evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder([SLOT, UNSET, STAND_IN.removeprefix("(?i)"), SCRIPT_WORDS])
+        finder = Finder([SLOT, UNSET, STAND_IN.removeprefix("(?i)"), SCRIPT_WORDS, *_page_parts()])
         names = ["line_no", "line", "part", "page", "n", "of"]
         kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         for b in batches:
             at, out = [], []
             for i, t in enumerate(b.column("t").to_pylist()):
-                lines = [(n, x) for n, x in enumerate(t.split("\n"), 1) if x.strip("\u200b\u2060\ufeff \t\r") and x.strip()]
-                if not finder.any(t) and not any(_PAGE.match(x) or is_filler(x) or _IN_PART["error"].match(x) for _, x in lines):
+                lines = t.split("\n")
+                if not finder.any(t) and not any(_CODE.match(x) or is_filler(x) for x in lines):
                     continue
-                found = [(n, x, in_part(x), *_pieces(x)) for n, x in lines]
+                found = [(n, x, in_part(x), *_pieces(x)) for n, x in enumerate(lines, 1) if x.strip("\u200b\u2060\ufeff \t\r") and x.strip()]
                 if any(f[2] or f[5] for f in found):
                     at += [i] * len(found)
                     out += [(n, x, part, page, size, of) for n, x, part, size, of, page in found]

@@ -154,3 +154,27 @@ def test_needed_strings_are_implied():
     f = literals.Finder([r"\b(?:read|see) (?:more|also)\b", r"co+kies?\b", r"[xX]y{2,}z"])
     assert f.candidates("SEE ALSO the Cookies") == {0, 1} and f.candidates("xyyyyz") == {2} and not f.any("read on")
     assert literals.required("a(?:bc|bd)?e") == {"abce", "abde", "ae"} and literals.required("a.*bcd") == {"bcd"}
+
+
+def test_lines_of_any_length():
+    notice = "We and our 12 partners use cookies and similar technologies to measure our audience. You can accept all or change your choice; see our cookie policy for details. "
+    for n in (1, 2, 5):
+        text = "\n".join([ARTICLE, ARTICLE, notice * n, ARTICLE])
+        assert furniture.body_mask(text)[1] == [True, True, False, True]
+    assert furniture.body_mask("\n".join([ARTICLE * 3, ARTICLE * 4 + " She said that cookies were sold at the door. " + ARTICLE * 4, ARTICLE]))[1] == [True] * 3
+    assert furniture.has_cue("Got a tip for us? Write in") is False and furniture.has_cue("Got a tip? Write to the city desk")
+
+
+def test_cues_need_their_strings():
+    from loomwire.llm import literals
+
+    for cue in furniture.CUES:
+        for part in literals.alternatives(cue):
+            assert literals.required(part)
+
+
+def test_cut_texts_without_bounds(spark, rows):
+    body = [f"{ARTICLE} The board met in town {chr(97 + i)}." for i in range(12)]
+    cases = [ARTICLE + " The board met in the" + " " * 90, ARTICLE + " The board met in the <a href=\"https://a.example/" + "x" * 300, ARTICLE + " The board met in the to"]
+    fine = [ARTICLE + "<!-- end -->", f"{ARTICLE}\nBy Anna Bellon", f"{ARTICLE}\nKelder Works 4, Ruskby 1", f"{ARTICLE}\n- Anna Bellon", f"{ARTICLE}\nRead more: The board met in the"]
+    assert sorted(i for i, in rows(truncation.truncated(frame(spark, *cases, *fine, *body)), "item_id")) == [0, 1, 2]
