@@ -31,9 +31,12 @@ from loomwire.scratch import materialize, new_folder
 
 #: Share of capitals from which a word never seen in lower case is a name; German nouns need so many titles.
 GERMAN_NOUN = 5
+#: Pairs that the prior of the weights counts for.
+PRIOR = 10
 #: Buckets of the key table at least.
 BUCKETS = 16
 
+_WORDS = "word string, lower bigint, cap bigint, german bigint"
 _SIGNATURE = "uid bigint, hash_id string, url string, tags string, ikeys array<bigint>, pkeys array<bigint>"
 
 
@@ -119,16 +122,15 @@ def _word_counts(sig: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
-    """uid, rep, inner, kind, changes, doubtful of the pairs that share a key, less those whose titles
-    differ too much; names are not yet looked at."""
+    """uid, rep, inner, kind, changes, doubtful of the pairs that share a key; changes is -1 where titles
+    differ too much. Names are not yet looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kinds = b.column("kind").to_pylist()
             found = [titles.compare(x, y) if k == "t" else (0, []) for k, x, y in zip(kinds, b.column("known").to_pylist(), b.column("new").to_pylist())]
-            keep = pa.array([f is not None for f in found], pa.bool_())
-            good = [f for f in found if f is not None]
-            arrays = [b.column(c).filter(keep) for c in ("uid", "rep", "inner", "kind")] + [pa.array([f[0] for f in good], pa.int32()), pa.array([f[1] for f in good], pa.list_(pa.string()))]
+            good = [f or (-1, []) for f in found]
+            arrays = [b.column(c) for c in ("uid", "rep", "inner", "kind")] + [pa.array([f[0] for f in good], pa.int32()), pa.array([f[1] for f in good], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["uid", "rep", "inner", "kind", "changes", "doubtful"])
 
     return pairs.select("uid", "rep", "inner", "kind", "known", "new").mapInArrow(run, "uid bigint, rep bigint, inner boolean, kind string, changes int, doubtful array<string>")
@@ -138,8 +140,9 @@ def agreement_weights(patterns: list[tuple[tuple[int, int, int], int]], rounds:
     """Log2 weights of the levels of (identity, address, title) by expectation-maximisation, and the
     share of matches. ``patterns`` are distinct patterns with their counts."""
     levels = [(0, 1), (0, 1), (0, 1, 2)]
-    m = [{0: 0.3, 1: 0.7}, {0: 0.3, 1: 0.7}, {0: 0.2, 1: 0.4, 2: 0.4}]
-    u = [{0: 0.99, 1: 0.01}, {0: 0.99, 1: 0.01}, {0: 0.9, 1: 0.08, 2: 0.02}]
+    m = [{0: 0.6, 1: 0.4}, {0: 0.6, 1: 0.4}, {0: 0.2, 1: 0.4, 2: 0.4}]
+    u = [{0: 0.99, 1: 0.01}, {0: 0.99, 1: 0.01}, {0: 0.98, 1: 0.015, 2: 0.005}]
+    prior = [dict(x) for x in m], [dict(x) for x in u]  # weighs as much as PRIOR pairs
     p, n = 0.5, sum(c for _, c in patterns) or 1
     for _ in range(rounds if patterns else 0):
         post = []
@@ -147,12 +150,12 @@ def agreement_weights(patterns: list[tuple[tuple[int, int, int], int]], rounds:
             a = p * math.prod(m[i][x] for i, x in enumerate(g))
             b = (1 - p) * math.prod(u[i][x] for i, x in enumerate(g))
             post.append(a / (a + b))
-        p = min(0.999, max(0.001, sum(w * c for w, (_, c) in zip(post, patterns)) / n))
+        p = min(0.99, max(0.01, sum(w * c for w, (_, c) in zip(post, patterns)) / n))
         for i, ls in enumerate(levels):
             for x in ls:
                 own = [(w, c) for w, (g, c) in zip(post, patterns) if g[i] == x]
-                m[i][x] = (sum(w * c for w, c in own) + 0.5) / (sum(w * c for w, (_, c) in zip(post, patterns)) + 0.5 * len(ls))
-                u[i][x] = (sum((1 - w) * c for w, c in own) + 0.5) / (sum((1 - w) * c for w, (_, c) in zip(post, patterns)) + 0.5 * len(ls))
+                m[i][x] = (sum(w * c for w, c in own) + PRIOR * prior[0][i][x]) / (sum(w * c for w, (_, c) in zip(post, patterns)) + PRIOR)
+                u[i][x] = (sum((1 - w) * c for w, c in own) + PRIOR * prior[1][i][x]) / (sum((1 - w) * c for w, (_, c) in zip(post, patterns)) + PRIOR)
     return [{x: math.log2(m[i][x] / u[i][x]) for x in ls} for i, ls in enumerate(levels)], p
 
 
@@ -175,6 +178,7 @@ class HistoryLinker:
             columns = "k BIGINT, v BIGINT, kind STRING, tags STRING, rep BIGINT"
             spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY (k) SORTED BY (k) INTO {self.buckets} BUCKETS LOCATION '{root}/keys'")
         self.weights: list[dict[int, float]] | None = None
+        self.share = 0.5
         if root and _exists(spark, f"{root}/buckets") and not _exists(spark, f"{root}/roots"):
             self._write_roots(spark.range(0).select(F.col("id").alias("uid"), F.col("id").alias("root")))
 
@@ -244,6 +248,7 @@ class HistoryLinker:
         cases, good = self._cases(sig, links)
         accepted = sig.join(cases.where("is_case").select(F.col("uid").alias("cu")), F.col("uid") == F.col("cu"), "left_anti")
         self._append(accepted)
+        _word_counts(accepted).write.mode("append").parquet(f"{self.root}/words")
         several = cases.where("is_case and n_links > 1").select(F.col("uid").alias("c"), F.col("rep").alias("a"))
         self._unite(materialize(good.join(several, F.col("uid") == F.col("c")).where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs"))
         return cases.select(F.floor(F.col("uid") / 2).alias(key), _named(F.coalesce("rep", "uid")).alias("rep"), "score", "is_case", "n_links")
@@ -261,26 +266,39 @@ class HistoryLinker:
         met = probes.join(known, on).select(*columns, F.lit(False).alias("inner"))
         met = met.unionByName(probes.join(own, on & (F.col("rep") < F.col("uid"))).select(*columns, F.lit(True).alias("inner"))).distinct()
         # changed words in doubt are looked up; one that is a name ends the agreement
-        asked = _compared(met).withColumn("d", F.explode_outer("doubtful")).drop("doubtful")
-        words = self.spark.read.parquet(f"{self.root}/words")
+        compared = materialize(_compared(met), "compared")
+        asked = compared.where("changes >= 0").withColumn("d", F.explode_outer("doubtful")).drop("doubtful")
+        # the words of these items count too: a name that is new in them is known as one
+        asking = asked.select(F.element_at(F.split("d", ":"), -1).alias("w")).distinct()
+        words = self.spark.read.schema(_WORDS).parquet(f"{self.root}/words").unionByName(_word_counts(sig))
+        words = words.join(asking, F.col("word") == F.col("w"), "left_semi").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("lower", "cap", "german")])
         found = asked.join(words, F.element_at(F.split("d", ":"), -1) == F.col("word"), "left").na.fill(0, ["lower", "cap", "german"])
         noun = (F.substring("d", 2, 1) == "g") & (F.col("cap") == 0) & (F.col("german") >= GERMAN_NOUN)
         # a capital inside a sentence is a name's; at its start, or where case says nothing, the word must be known as one
         is_name = (F.col("lower") == 0) & ~noun & F.when(F.col("d").startswith("c"), True).otherwise((F.col("cap") + F.col("german")) > 0)
         sound = found.groupBy("uid", "rep", "inner", "kind", "changes").agg(F.coalesce(F.bool_or(is_name), F.lit(False)).alias("named")).where("not named").drop("named")
+        self._learn(compared)
         return materialize(self._scored(sound), "links")
 
-    def _scored(self, links: DataFrame) -> DataFrame:
-        """Links with the weight of their agreement, learned from the first batch that has links."""
-        level = {"h": F.when(F.col("kind") == "h", 1), "u": F.when(F.col("kind") == "u", 1), "t": F.when(F.col("kind") == "t", F.when(F.col("changes") == 0, 2).otherwise(1))}
-        fields = links.groupBy("uid", "rep", "inner").agg(F.collect_set("kind").alias("kinds"), *[F.coalesce(F.max(x), F.lit(0)).alias(c) for c, x in level.items()])
+    def _learn(self, compared: DataFrame) -> None:
+        """Weights from all pairs that share a key, those whose titles differ among them, of the first items that have any."""
         if self.weights is None:
-            fields = materialize(fields, "fields")
-            patterns = [((r.h, r.u, r.t), r["count"]) for r in fields.groupBy("h", "u", "t").count().collect()]  # twelve at most
-            self.weights = agreement_weights(patterns)[0] if patterns else None
-        weights = self.weights or agreement_weights([])[0]
-        score = sum((F.element_at(F.array(*[F.lit(w[x]) for x in sorted(w)]), F.col(c) + 1) for c, w in zip("hut", weights)), F.lit(0.0))
-        return fields.select("uid", "rep", "inner", F.explode("kinds").alias("kind"), score.alias("score"))
+            patterns = [((r.h, r.u, r.t), r["count"]) for r in self._levels(compared).groupBy("h", "u", "t").count().collect()]  # twelve at most
+            if patterns:
+                self.weights, self.share = agreement_weights(patterns)
+
+    @staticmethod
+    def _levels(links: DataFrame) -> DataFrame:
+        """uid, rep, inner, kinds, and the level of agreement by identity (h), address (u) and title (t)."""
+        level = {"h": F.when(F.col("kind") == "h", 1), "u": F.when(F.col("kind") == "u", 1), "t": F.when(F.col("kind") == "t", F.when(F.col("changes") == 0, 2).when(F.col("changes") > 0, 1).otherwise(0))}
+        return links.groupBy("uid", "rep", "inner").agg(F.collect_set("kind").alias("kinds"), *[F.coalesce(F.max(x), F.lit(0)).alias(c) for c, x in level.items()])
+
+    def _scored(self, links: DataFrame) -> DataFrame:
+        """The links that the weights of their agreement make likelier than not, with the log2 of the odds."""
+        weights, share = (self.weights, self.share) if self.weights else agreement_weights([])
+        fields = self._levels(links)
+        score = math.log2(share / (1 - share)) + sum((F.element_at(F.array(*[F.lit(w[x]) for x in sorted(w)]), F.col(c) + 1) for c, w in zip("hut", weights)), F.lit(0.0))
+        return fields.select("uid", "rep", "inner", F.explode("kinds").alias("kind"), score.alias("score")).where("score > 0")
 
     def _cases(self, sig: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """uid, rep, score, is_case, n_links, and all links to something accepted. An item with a link into the history is a case. Links within the batch
@@ -350,16 +368,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def link_batches(history: DataFrame, batches: DataFrame, batch_no: str = "batch_no", key: str = "batch_item_id") -> DataFrame:
     """All batches in the order of ``batch_no`` against ``history`` and what was accepted before; columns
-    as of :meth:`HistoryLinker.link`, with the roots after the last batch. The numbers of the batches are the only thing collected."""
+    as of :meth:`HistoryLinker.link` and ``batch_no``, with the roots after the last batch.
+
+    The history is probed once for all of them: their items are numbered in the order of batch and
+    ``key``, and are decided as one. What is collected is the least and the greatest key of each batch."""
+    rows = batches.where(F.col(batch_no).isNotNull() & F.col(key).isNotNull()).dropDuplicates([key])
+    spans = rows.groupBy(batch_no).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy(batch_no).collect()
+    number, at, named = F.col(key), 0, F.col(key)
+    for i, r in enumerate(spans):
+        # the items of a batch get the numbers from ``at`` on
+        shift = at - r["lo"]
+        number = F.when(F.col(batch_no) == r[batch_no], F.col(key) + shift) if i == 0 else number.when(F.col(batch_no) == r[batch_no], F.col(key) + shift)
+        at += r["hi"] - r["lo"] + 1
+    if at >= 1 << 62:
+        raise ValueError("the keys of the batches are too far apart; link them one by one")
     linker = HistoryLinker(history.sparkSession)
     linker.bootstrap(history)
-    numbers = [r[0] for r in batches.select(batch_no).where(F.col(batch_no).isNotNull()).distinct().orderBy(batch_no).collect()]
-    sig = linker.signatures(batches.where(F.col(batch_no).isNotNull()), key, batch_no)
-    out = None
-    for n in numbers:
-        one = linker.link_signatures(sig.where(F.col(batch_no) == n).drop(batch_no), key).withColumn(batch_no, F.lit(n))
-        out = one if out is None else out.unionByName(one)
+    sig = linker.signatures(rows.withColumn("__number", number) if spans else rows.withColumn("__number", F.col(key)), "__number", batch_no, key)
+    linked = linker.with_roots(linker.link_signatures(sig, "__number"))
     linker.close()
-    if out is None:
-        out = batches.select(F.col(key), F.lit(0).cast("bigint").alias("rep"), F.lit(0.0).alias("score"), F.lit(False).alias("is_case"), F.lit(0).cast("bigint").alias("n_links"), F.col(batch_no)).where("false")
-    return linker.with_roots(out)
+    names = sig.select(F.floor(F.col("uid") / 2).alias("n"), F.col(key).alias("named"), F.col(batch_no).alias("of"))
+    for column in ("__number", "rep", "root"):  # numbers of items; negative ones are rows of the history
+        by = names.withColumnsRenamed({"n": f"n_{column}", "named": f"k_{column}", "of": f"b_{column}"})
+        linked = linked.join(by, F.col(column) == F.col(f"n_{column}"), "left")
+    known = [F.coalesce(F.col(f"k_{c}"), F.col(c)).alias(c) for c in ("rep", "root")]
+    return linked.select(F.col("k___number").alias(key), known[0], "score", "is_case", "n_links", known[1], F.col("b___number").alias(batch_no))

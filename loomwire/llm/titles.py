@@ -22,6 +22,8 @@ LABELS = (
     "|dernière minute|flash|mise à jour|exclusif|en direct|direct|vidéo|info|alerte"
     "|快讯|最新|独家|更新|视频|直播|突发|重磅|图集|最新消息|刚刚"
 )
+# Chinese characters of particles, times, degrees and plain verbs, which make no name of another.
+PLAIN_CHARS = frozenset("的地得了着过在再已将把被对与和及并又仍还也都就才从向于为是有没不未无很更最太可能会要应该今日天昨明前后时刻现正刚这那其此本该每各个次名位项起说称道表示指出公布宣布发公开始继续进入做作去来到给让使用他她它们")
 _LABEL = re.compile(rf"^\W*(?:(?:{LABELS})\s*(?:[:：|•·!/–—]|-\s|\s-)\s*|[\[【(（〔](?:{LABELS})[\]】)）〕]\s*)+", re.I)
 _LABEL_END = re.compile(rf"\s*(?:[\[【(（〔](?:{LABELS})[\]】)）〕]|(?:\s[-–—|]\s|\|)\s*(?:{LABELS}))\W*$", re.I)
 #: A leading word or two in capitals with a colon is a label unless the rest is in capitals as well.
@@ -87,16 +89,28 @@ def _chinese(words: list[str]) -> bool:
     return sum(len(w) == 1 and bool(_HAN.match(w)) for w in words) >= 0.5 * max(1, len(words))
 
 
+def _ranked(words: list[str]) -> list[str]:
+    """Words without figures, the longest first: the order in which titles choose the words of their keys."""
+    return sorted({w for w in words if not w.isdigit()}, key=lambda w: (-len(w), w))
+
+
+def _word_keys(fig: str, best: list[str], singles: bool, pairs: bool) -> list[int]:
+    one = [_h("w", fig, w) for w in best[: MAX_WORDS + 1 + (0 if not pairs else MAX_WORDS)]] if singles else []
+    two = [_h("p", fig, *sorted((a, b))) for i, a in enumerate(best) for b in best[i + 1 :]] if pairs else []
+    return one + two or [_h("w", fig)]
+
+
 def index_keys(tags: str) -> list[int]:
     """Few keys under which a title is found by :func:`probe_keys` of any nearly equal one. Figures
-    never change. Of any three words at least one survives two changes; without figures pairs out of
-    four words are used. Of five pieces of a Chinese title at least one survives four changes."""
+    never change. Of any four words two survive two changes, so pairs out of the four longest words
+    serve, which are rare enough whatever the figures; titles of three words or fewer have each of
+    them. Of five pieces of a Chinese title at least one survives four changes."""
     words = [w[1:] for w in tags.split()]
     fig = figures(words)
-    plain = [w for w in words if not w.isdigit()]
     if not words:
         return []
     if _chinese(words):
+        plain = [w for w in words if not w.isdigit()]
         s, n = "".join(plain), len(plain)
         size, more = divmod(n, MAX_CHARS + 1)
         out, at = set(), 0
@@ -106,21 +120,20 @@ def index_keys(tags: str) -> list[int]:
                 out.add(_h("z", fig, str(n), s[at : at + k]))
             at += k
         return list(out) or [_h("z", fig, str(n), s)]
-    best = sorted(set(plain), key=lambda w: (-len(w), w))
-    if fig:
-        return [_h("w", fig, w) for w in best[: MAX_WORDS + 1]] or [_h("w", fig)]
-    best = best[: MAX_WORDS + 2]
-    pairs = [_h("p", *sorted((a, b))) for i, a in enumerate(best) for b in best[i + 1 :]]
-    return pairs or [_h("p", *best)]
+    best = _ranked(words)
+    short = len(best) <= MAX_WORDS + 1
+    return _word_keys(fig, best, True, False) if short else _word_keys(fig, best[: MAX_WORDS + 2], False, True)
 
 
 def probe_keys(tags: str) -> list[int]:
+    """Keys of all titles that may be nearly equal. A word that both titles have falls in rank by one at
+    most for each word that was added, so the words of the other title's keys are among the first six."""
     words = [w[1:] for w in tags.split()]
     fig = figures(words)
-    plain = [w for w in words if not w.isdigit()]
     if not words:
         return []
     if _chinese(words):
+        plain = [w for w in words if not w.isdigit()]
         s, n = "".join(plain), len(plain)
         out = set()
         for m in range(max(1, n - MAX_CHARS), n + MAX_CHARS + 1):
@@ -129,10 +142,9 @@ def probe_keys(tags: str) -> list[int]:
                     # a piece is moved by at most the number of changes
                     out.update(_h("z", fig, str(m), s[i : i + size]) for i in range(n - size + 1))
         return list(out) or [_h("z", fig, str(n), s)]
-    if fig:
-        return [_h("w", fig, w) for w in set(plain)] or [_h("w", fig)]
-    u = sorted(set(plain))
-    return [_h("p", a, b) for i, a in enumerate(u) for b in u[i + 1 :]] or [_h("p", *u)]
+    best = _ranked(words)
+    singles = len(best) <= 2 * MAX_WORDS + 1
+    return _word_keys(fig, best[: 2 * MAX_WORDS + 2], singles, len(best) > 1)
 
 
 def _script(a: list[str], b: list[str], most: int) -> list[tuple[str, str]] | None:
@@ -186,14 +198,14 @@ def compare(known: str, new: str) -> tuple[int, list[str]] | None:
         return 0, []
     if _chinese(wa):
         s = _script(wa, wb, MAX_CHARS)
-        # without letter case only added or dropped characters are surely no other name
-        return None if s is None or any(x and y for x, y in s) else (len(s), [])
+        # letter case does not tell names: a character that stands for another must be one of words that are no names
+        return None if s is None or any(x and y and not (x in PLAIN_CHARS and y in PLAIN_CHARS) for x, y in s) else (len(s), [])
     s = _script(wa, wb, MAX_WORDS)
     if s is None:
         s = _joined(wa, wb)
         if s is None:
             return None
-    if len(s) >= min(len(wa), len(wb)):
+    if len(s) >= min(sum(not w.isdigit() for w in x) for x in (wa, wb)):
         return None
     ta, tb = dict(zip(wa, a)), dict(zip(wb, b))
     german = len(_GERMAN.intersection(wa)) >= 1
