@@ -81,7 +81,8 @@ def mix(
     ``targets`` has source, target_share and max_repeats. Documents of other sources, with a null
     source or key, and without tokens (null and empty texts) are not in the mixture; a source that is
     absent has no rows; a target listed twice counts once. ``key`` must be unique. A document
-    belongs to the slot in which it begins. The same seed gives the same mixture.
+    belongs to the slot in which it begins; the one across the end of a source's quota is taken or left, whichever errs less
+    (the first of a source is always taken). The same seed gives the same mixture.
     """
     wanted = targets.select(F.col("source").alias("ts")).distinct()
     docs = df.select(F.col(key).alias("doc"), F.col(source).alias("source"), F.col(text).alias("t")).where("doc is not null and source is not null")
@@ -97,7 +98,8 @@ def mix(
     laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     laid = laid.withColumn("h", F.xxhash64(F.lit(seed), "copy", F.col("doc").cast("string"))).withColumn("__tie", F.col("doc"))
     laid = _prefix(laid, ["source", "copy"], "h", "n_tokens", "at", max(1, -(-int(size["most"]) // BUCKET)))
-    laid = laid.withColumn("at", F.col("at") + (F.col("copy") - 1) * F.col("own")).where(F.col("at") < F.col("quota"))
+    # the document across the quota's end is taken if that misses the quota by less than leaving it does
+    laid = laid.withColumn("at", F.col("at") + (F.col("copy") - 1) * F.col("own")).where((F.col("at") < F.col("quota")) & ((F.col("at") + F.col("n_tokens") - F.col("quota") <= F.col("quota") - F.col("at")) | (F.col("at") == 0)))
     laid = laid.withColumn("block", F.floor(F.col("at") / block).cast("bigint"))
     slots = source_slots(goal, int(size["tokens"] // block) + 1, block)
     on = (F.col("source") == F.col("ss")) & (F.col("block") == F.col("rank"))

@@ -30,6 +30,19 @@ def test_mix(spark):
     assert mixing.mix(docs(spark), goal).count() == 0
 
 
+@pytest.mark.skipif(not __import__("os").path.exists(tokens.rank_file()), reason="no vocabulary files here")
+def test_long_document_at_the_end(spark):
+    rows = [(i, f"word number {i} " * 10, "a") for i in range(100)] + [(1000 + i, f"word number {i} " * 10, "b") for i in range(60)] + [(5000 + i, "long text " * 3000, "b") for i in range(2)]
+    goal = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(3):
+        mixed = mixing.mix(docs(spark, *rows), goal, block=256, seed=seed)
+        got = {r.source: r.n_tokens for r in mixing.shares(mixed, goal).collect()}
+        quota = {r.source: r.quota for r in mixed.select("source", "quota").distinct().collect()}
+        # a document of 6,000 tokens is no longer taken for a quota of some 1,000, unless it comes first
+        first = mixed.where("source = 'b'").orderBy("slot", "part").first()
+        assert first.n_tokens > 1000 or abs(got["b"] - quota["b"]) < 1000
+
+
 PROSE = "The mayor said on Monday that the club had signed a lease for the {}. Nobody who was asked about it could say how much it would cost, and the board of the {} did not reply to a letter from the town. "
 
 
