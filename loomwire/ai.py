@@ -15,14 +15,40 @@ from loomwire.schema import DEDUPE_REPLY, SUMMARY_REPLY
 
 # How many bullets a summary has, and their least length.
 BULLETS, BULLET_CHARS = (2, 5), 10
+#: Items of a request, new and known ones each.
+REQUEST_ITEMS = 200
+
+#: What a client is told about its task; {language} is filled in.
+DEDUPE_TASK = (
+    'The input is an object with "fetched" and "covered", two lists of news items. Name the hash_id of every item of fetched that should not be shown: items about an event that an item of covered reports, '
+    "unless they bring a development that clearly changes the story; and, of several items of fetched about one event, all but the one with the latest state of affairs. "
+    'Items that merely share a topic are different. Answer with JSON alone: {{"ids": [...]}}, an empty list if nothing is to go.'
+)
+SUMMARY_TASK = (
+    'The input is a list of news items with their texts. Answer with JSON alone: {{"items": [...]}}, one entry for each item, in the same order, with its hash_id unchanged, a telling title in {language}, and '
+    "two to four bullets in {language}, each a full sentence with facts of the text, none twice. Use typographic quotation marks inside the texts. Add nothing that the item does not say."
+)
+# The shapes of the replies, as JSON schemas.
+DEDUPE_SHAPE = {"type": "object", "properties": {"ids": {"type": "array", "items": {"type": "string"}}}, "required": ["ids"], "additionalProperties": False}
+_ITEM_SHAPE = {
+    "type": "object",
+    "properties": {"hash_id": {"type": "string", "minLength": 1}, "title": {"type": "string", "minLength": 1}, "bullets": {"type": "array", "items": {"type": "string", "minLength": BULLET_CHARS}, "minItems": BULLETS[0], "maxItems": BULLETS[1]}},
+    "required": ["hash_id", "title", "bullets"], "additionalProperties": False,
+}
+SUMMARY_SHAPE = {"type": "object", "properties": {"items": {"type": "array", "items": _ITEM_SHAPE}}, "required": ["items"], "additionalProperties": False}
 
 
 class AIClient(Protocol):
-    """Anything that answers a batch of prompts; it must be picklable."""
+    """Anything that answers a batch of prompts; it must be picklable. One that has with_task(instruction,
+    shape), as :class:`loomwire.clients.HttpAIClient`, is told its task; others know it."""
 
     def ask(self, prompts: list[str]) -> list[str]: ...
 
 
+def _tasked(client: AIClient, task: str, shape: dict, language: str = "English") -> AIClient:
+    return client.with_task(task.format(language=language), shape) if hasattr(client, "with_task") else client
+
+
 class FakeAIClient:
     """Deterministic client for tests and offline runs: a function of the decoded payload."""
 
@@ -45,7 +71,13 @@ def repair_json(text: str) -> str:
     start = min((i for i in (t.find("{"), t.find("[")) if i >= 0), default=-1)
     if start < 0:
         return text
-    t = re.sub(r",\s*([}\]])", r"\1", t[start:])
+    t = t[start:]
+    try:
+        json.loads(t)
+        return t
+    except ValueError:
+        t = _plain_json(t)
+    t = re.sub(r",\s*([}\]])", r"\1", t)
     stack, inside, escaped, end = [], False, False, len(t)
     for i, c in enumerate(t):
         if inside:
@@ -62,6 +94,24 @@ def repair_json(text: str) -> str:
     return re.sub(r",\s*$", "", t[:end] + ('"' if inside else "")) + "".join(reversed(stack))
 
 
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|//[^\n]*|/\*.*?\*/|[A-Za-z_$][\w$]*(?=\s*:)|\b(?:True|False|None|undefined)\b', re.S)
+
+
+def _plain_json(text: str) -> str:
+    """Texts in single quotes, keys without quotes, comments and names of other languages' constants made JSON."""
+    names = {"True": "true", "False": "false", "None": "null", "undefined": "null"}
+
+    def one(m: re.Match) -> str:
+        x = m[0]
+        if x[0] == '"':
+            return x
+        if x[0] == "'":
+            return json.dumps(x[1:-1].replace("\\'", "'"), ensure_ascii=False)
+        return "" if x[0] == "/" else names.get(x) or json.dumps(x)
+
+    return _TOKEN.sub(one, text)
+
+
 def valid_dedupe(reply: Column) -> Column:
     """ids of a sound reply, null for any other."""
     ids = F.from_json(reply, DEDUPE_REPLY)["ids"]
@@ -76,22 +126,32 @@ def valid_summary(reply: Column) -> Column:
     return F.when(F.coalesce(sound, F.lit(False)), items)
 
 
-def _payload(items: DataFrame, order: list[str]) -> DataFrame:
+def _payload(items: DataFrame, order: list[str], most: int | None = None) -> DataFrame:
+    """category, chunk, items: the items of a category as one list, or as lists of about ``most`` by the hash
+    of their hash_id, so that no list grows with the category."""
     fields = [c for c in ("hash_id", "url", "title", "source_date", "source_name", "category", "bullets", "raw") if c in items.columns]
-    rows = items.groupBy("category").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("x")))).alias("rows"))
-    return rows.select("category", F.transform("rows", lambda r: r["x"]).alias("items"))
+    if most is None:
+        items = items.withColumn("__chunk", F.lit(0))
+    else:
+        counts = items.groupBy(F.col("category").alias("__c")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__k"))
+        items = items.join(counts, F.col("category") == F.col("__c")).withColumn("__chunk", F.pmod(F.xxhash64("hash_id"), F.col("__k")).cast("int"))
+    rows = items.groupBy("category", F.col("__chunk").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("x")))).alias("rows"))
+    return rows.select("category", "chunk", F.transform("rows", lambda r: r["x"]).alias("items"))
 
 
-def dedupe_by_event(items: DataFrame, history: DataFrame, client: AIClient, order: tuple[str, ...] = ("source_ord", "item_ord")) -> DataFrame:
+def dedupe_by_event(items: DataFrame, history: DataFrame, client: AIClient, order: tuple[str, ...] = ("source_ord", "item_ord"), most: int = REQUEST_ITEMS) -> DataFrame:
     """Items less those that the client calls known events, by category. A category of one item without
-    history is not asked; ids that are unknown are ignored; an unsound reply fails the job. For
-    truncated or recent items: a category is one prompt."""
-    new = _payload(items, list(order))
-    old = _payload(history, ["hash_id"]).withColumnsRenamed({"items": "covered", "category": "c2"})
+    history is not asked; ids that are unknown are ignored; an unsound reply fails the job.
+
+    Up to ``most`` items and as many of the history go into a request. A larger category is asked about in
+    pieces, each piece of its items against each piece of its history, so no request and no row grows
+    with the tables; items of different pieces are then not held against each other."""
+    new = _payload(items, list(order), most)
+    old = _payload(history, ["hash_id"], most).drop("chunk").withColumnsRenamed({"items": "covered", "category": "c2"})
     both = new.join(old, F.col("category") == F.col("c2"), "left").where((F.size("items") > 1) | (F.size("covered") > 0))
     covered = F.coalesce(F.to_json("covered"), F.lit("[]"))
     prompts = both.select("category", F.concat(F.lit('{"fetched":'), F.to_json("items"), F.lit(',"covered":'), covered, F.lit("}")).alias("prompt"))
-    replies = _ask(prompts, client)
+    replies = _ask(prompts, _tasked(client, DEDUPE_TASK, DEDUPE_SHAPE))
     ids = replies.select("category", F.coalesce(valid_dedupe(F.col("reply")), F.raise_error(F.lit("unsound dedupe reply")).cast("array<string>")).alias("ids"))
     gone = ids.select("category", F.explode("ids").alias("hash_id")).distinct()
     return items.join(gone, ["category", "hash_id"], "left_anti")
@@ -105,12 +165,12 @@ def _ask(prompts: DataFrame, client: AIClient) -> DataFrame:
     return prompts.mapInPandas(run, "category string, reply string")
 
 
-def summarize(items: DataFrame, client: AIClient, order: tuple[str, ...] = ("source_ord", "item_ord")) -> DataFrame:
+def summarize(items: DataFrame, client: AIClient, order: tuple[str, ...] = ("source_ord", "item_ord"), language: str = "English") -> DataFrame:
     """Items with the titles and bullets of the client's reply, one prompt by category. A reply is matched
     by hash_id, or by position where it is as long as the request and its id is unknown; items
     without a match stay as they are. An unsound reply fails the job."""
     asked = _payload(items, list(order))
-    replies = _ask(asked.select("category", F.to_json("items").alias("prompt")), client)
+    replies = _ask(asked.select("category", F.to_json("items").alias("prompt")), _tasked(client, SUMMARY_TASK, SUMMARY_SHAPE, language))
     return match_replies(items, replies, order)
 
 

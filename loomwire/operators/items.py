@@ -66,12 +66,14 @@ def resolve_links(items: DataFrame, resolved: DataFrame, most: int = 5, group: s
     """Aggregator links replaced by what ``resolved`` (url, target; null for a failure) has for them. The
     first ``most`` items of a feed are looked up: failures go, direct links pass. Beyond them
     aggregator links go. Only article URLs remain."""
-    token = article_token(F.col("url"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("item_ord"))
+    rows = items.withColumns({"__a": article_token(F.col("url")).isNotNull()})
+    # only the head of each feed is ranked: tasks prune it to ``most`` rows a group before the shuffle
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("item_ord", "url"))
+    head = rows.withColumn("__n", rank).where(F.col("__n") <= most).where("__a").drop("__n", "__a")
     found = resolved.groupBy(F.col("url").alias("__u")).agg(F.min("target").alias("__t"))
-    j = items.withColumns({"__n": rank, "__a": token.isNotNull()}).join(found, F.col("url") == F.col("__u"), "left")
-    url = F.when(~F.col("__a"), F.col("url")).when(F.col("__n") <= most, F.col("__t"))
-    return j.withColumn("url", url).where(F.col("url").isNotNull() & is_article_url(F.col("url"))).select(*items.columns)
+    looked_up = head.join(found, F.col("url") == F.col("__u")).withColumn("url", F.col("__t")).select(*items.columns)
+    both = rows.where("not __a").select(*items.columns).unionByName(looked_up)
+    return both.where(F.col("url").isNotNull() & is_article_url(F.col("url")))
 
 
 def drop_known(items: DataFrame, history: DataFrame | None, keys: Iterable[str] = ("category", "hash_id")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 from typing import Any
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from loomwire import ai
 from loomwire.operators import digest, items, pages
 from loomwire.operators.fetch import fetch_items
-from loomwire.plans.pipeline import ERROR_CODES, Pipeline, Stage
+from loomwire.plans.pipeline import ERROR_CODES, Pipeline, Stage, StageError
 from loomwire.scratch import materialize
+from loomwire.sources import pages as web
 
 
 def _fetch(given, services, options):
@@ -52,7 +54,7 @@ def _read(given, services, options):
 
 def _summarize(given, services, options):
     # written once: two sinks follow, and the client must not be asked twice
-    return {"summarized": materialize(ai.summarize(given["items"], services["ai"]), "summaries")}
+    return {"summarized": materialize(ai.summarize(given["items"], services["ai"], language=options.get("language", "English")), "summaries")}
 
 
 def _format(given, services, options):
@@ -112,3 +114,28 @@ def run_news(fetched: DataFrame, categories: list[str], channels: list[str], ser
     """Runs the standard pipeline; False if any stage failed."""
     out = news_pipeline(on_error, options.get("dag_timeout")).run({"fetched": fetched, "categories": categories, "channels": channels}, ["success"], services, options)
     return bool(out["success"])
+
+
+def run_registry(registry: DataFrame, services: dict[str, Any], options: dict[str, Any], on_error=None) -> bool:
+    """As :func:`run_news` from the pages of a registry's sources, which are fetched here, as are the items'
+    pages. That no source could be read is an error of the first stage."""
+    known = {"categories": options["categories"], "channels": options["channels"]}
+    wanted = registry.where(F.col("category").isin(options["categories"]))
+    timeout, agent = options.get("fetch_timeout", 30000) / 1000, options.get("fetch_user_agent") or web.USER_AGENT
+    listings = materialize(web.fetch(wanted.select("url").distinct(), timeout=timeout, agent=agent), "listings")
+
+    def read(given, services, options):
+        if listings.where("html is not null").isEmpty():
+            raise StageError(ERROR_CODES["fetch"], "no source could be read")
+        return _fetch(given, services, options)
+
+    def pages_of(given, services, options):
+        items_ = materialize(given["items"], "first")
+        urls = items_.where(pages.route(F.col("source_name"), F.col("url")).isNotNull()).select("url").distinct()
+        got = web.fetch(urls, timeout=options.get("read_timeout", 30000) / 1000, agent=options.get("read_user_agent") or web.USER_AGENT, parallel=options.get("read_concurrency", 5))
+        return _read({**given, "items": items_}, {**services, "pages": materialize(got, "pages").where("html is not null").select("url", "html")}, options)
+
+    line = news_pipeline(on_error, options.get("dag_timeout") and options["dag_timeout"] / 1000, fetch=True).set_debug(options.get("debug", False))
+    line.stages = [replace(s, apply={"fetch_news": read, "read_news": pages_of}.get(s.name, s.apply)) for s in line.stages]
+    out = line.run(known, ["success"], {**services, "registry": registry, "listings": listings}, options)
+    return bool(out["success"])

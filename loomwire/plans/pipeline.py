@@ -7,10 +7,13 @@ whose inputs are ready run together, each wave in threads, so that independent a
 
 from __future__ import annotations
 
+import importlib
+import logging
+import time
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from threading import Timer
+from threading import Event, Timer
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,8 @@ from pyspark.sql import types as T
 
 from loomwire.schema import validate
 
+log = logging.getLogger(__name__)
+
 # Codes of the stages' errors.
 ERROR_CODES = {"fetch": 1, "dedupe": 2, "truncate": 3, "read": 4, "summarize": 5, "history": 6, "format": 7, "merge_status": 8, "save": 9, "send": 10, "recency": 11}
 
@@ -32,10 +37,11 @@ class StageError(Exception):
 
 @dataclass(frozen=True)
 class Stage:
-    """``apply(inputs, services, options) -> outputs``; inputs with a StructType are validated."""
+    """``apply(inputs, services, options) -> outputs``, or the path of such a function (module:name); inputs
+    with a StructType are validated."""
 
     name: str
-    apply: Callable[[Mapping[str, Any], Mapping[str, Any], Mapping[str, Any]], Mapping[str, Any]]
+    apply: Callable[[Mapping[str, Any], Mapping[str, Any], Mapping[str, Any]], Mapping[str, Any]] | str
     inputs: Mapping[str, T.StructType | None] = field(default_factory=dict)
     outputs: tuple[str, ...] = ()
     code: int = 0
@@ -60,7 +66,8 @@ class Stage:
 
 
 class Pipeline:
-    def __init__(self, stages: Iterable[Stage], on_error: Callable[[StageError], None] | None = None, timeout: float | None = None) -> None:
+    def __init__(self, stages: Iterable[Stage], on_error: Callable[[StageError], None] | None = None, timeout: float | None = None, debug: bool = False) -> None:
+        self.debug = debug
         self.stages = list(stages)
         names = [s.name for s in self.stages]
         twice = {n for n in names if names.count(n) > 1}
@@ -74,6 +81,15 @@ class Pipeline:
         used = {n for s in self.stages for n in s.takes().values()} | set(wanted)
         return [f"{n} is made but not used" for n in sorted(made - used)] + [f"{n} is used but not made" for n in sorted(used - made)]
 
+    def set_timeout(self, seconds: float | None) -> Pipeline:
+        self.timeout = seconds
+        return self
+
+    def set_debug(self, debug: bool) -> Pipeline:
+        """With debug a run logs what lint finds, and the name and seconds of each stage."""
+        self.debug = debug
+        return self
+
     def run(self, inputs: Mapping[str, Any], outputs: Iterable[str], services: Mapping[str, Any] | None = None, options: Mapping[str, Any] | None = None) -> dict[str, Any]:
         """Values of ``outputs``. A StageError is handed to the error handler, what depends on the stage
         does not run, and missing outputs are None. Invalid inputs and all other failures end the run.
@@ -83,16 +99,28 @@ class Pipeline:
         unknown = [n for n in inputs if n not in {x for s in self.stages for x in s.takes().values()}] + [n for n in outputs if n not in made and n not in inputs]
         if unknown:
             raise KeyError(f"unknown names: {unknown}")
+        if self.debug:
+            for note in self.lint(inputs, outputs):
+                log.warning("%s", note)
         values: dict[str, Any] = dict(inputs)
         waiting = list(self.stages)
         spark = SparkSession.getActiveSession()
         tag = f"pipeline-{id(self)}"
-        timer = Timer(self.timeout, lambda: spark and spark.interruptTag(tag)) if self.timeout else None
+        late = Event()
+
+        def stop() -> None:
+            late.set()
+            if spark:
+                spark.interruptTag(tag)
+
+        timer = Timer(self.timeout, stop) if self.timeout else None
         if timer:
             timer.daemon = True
             timer.start()
         try:
             while not all(n in values for n in outputs):
+                if late.is_set():
+                    raise TimeoutError(f"the pipeline took more than {self.timeout} seconds")
                 ready = [s for s in waiting if all(n in values for n in s.takes().values())]
                 if not ready:
                     break
@@ -102,6 +130,8 @@ class Pipeline:
                 for found in done:
                     for name, value in found.items():
                         values.setdefault(name, value)
+            if late.is_set():
+                raise TimeoutError(f"the pipeline took more than {self.timeout} seconds")
         finally:
             if timer:
                 timer.cancel()
@@ -114,13 +144,22 @@ class Pipeline:
         for own, schema in stage.inputs.items():
             if schema is not None and isinstance(given[own], DataFrame):
                 given[own] = validate(given[own], schema, f"{stage.name}.{own}")
+        start = time.monotonic()
         try:
-            found = stage.apply(given, services, options)
+            apply = stage.apply
+            if isinstance(apply, str):  # a stage by the path of its function
+                module, _, name = apply.partition(":")
+                apply = getattr(importlib.import_module(module), name or "apply")
+            found = apply(given, services, options)
+            if self.debug:
+                log.info("stage %s took %.3f s", stage.name, time.monotonic() - start)
         except StageError as e:
+            log.error("stage %s: %s", stage.name, e)
             if self.on_error:
                 self.on_error(e)
             return {}
         except Exception as e:
+            log.error("stage %s: %s", stage.name, e)
             if not stage.code:
                 raise
             if self.on_error:
