@@ -31,8 +31,8 @@ from loomwire.scratch import materialize, new_folder
 
 #: Share of capitals from which a word never seen in lower case is a name; German nouns need so many titles.
 GERMAN_NOUN = 5
-#: Pairs that the prior of the weights counts for.
-PRIOR = 10
+#: Pairs that the prior of the weights counts for; probability of each level of agreement of two items at random.
+PRIOR, CHANCE = 10, 1e-6
 #: Buckets of the key table at least.
 BUCKETS = 16
 
@@ -138,11 +138,14 @@ def _compared(pairs: DataFrame) -> DataFrame:
 
 def agreement_weights(patterns: list[tuple[tuple[int, int, int], int]], rounds: int = 50) -> tuple[list[dict[int, float]], float]:
     """Log2 weights of the levels of (identity, address, title) by expectation-maximisation, and the
-    share of matches. ``patterns`` are distinct patterns with their counts."""
+    share of matches. ``patterns`` are distinct patterns with their counts.
+
+    Learned are the probabilities among matches and the share of matches. Those among others are fixed at
+    CHANCE: pairs come from blocking, among which chance agreement is far too frequent to learn it from."""
     levels = [(0, 1), (0, 1), (0, 1, 2)]
-    m = [{0: 0.6, 1: 0.4}, {0: 0.6, 1: 0.4}, {0: 0.2, 1: 0.4, 2: 0.4}]
-    u = [{0: 0.99, 1: 0.01}, {0: 0.99, 1: 0.01}, {0: 0.98, 1: 0.015, 2: 0.005}]
-    prior = [dict(x) for x in m], [dict(x) for x in u]  # weighs as much as PRIOR pairs
+    start = [{0: 0.6, 1: 0.4}, {0: 0.6, 1: 0.4}, {0: 0.2, 1: 0.4, 2: 0.4}]
+    m = [dict(x) for x in start]
+    u = [{x: CHANCE if x else 1 - (len(ls) - 1) * CHANCE for x in ls} for ls in levels]
     p, n = 0.5, sum(c for _, c in patterns) or 1
     for _ in range(rounds if patterns else 0):
         post = []
@@ -150,12 +153,11 @@ def agreement_weights(patterns: list[tuple[tuple[int, int, int], int]], rounds:
             a = p * math.prod(m[i][x] for i, x in enumerate(g))
             b = (1 - p) * math.prod(u[i][x] for i, x in enumerate(g))
             post.append(a / (a + b))
-        p = min(0.99, max(0.01, sum(w * c for w, (_, c) in zip(post, patterns)) / n))
+        match = sum(w * c for w, (_, c) in zip(post, patterns))
+        p = min(0.99, max(0.01, match / n))
         for i, ls in enumerate(levels):
             for x in ls:
-                own = [(w, c) for w, (g, c) in zip(post, patterns) if g[i] == x]
-                m[i][x] = (sum(w * c for w, c in own) + PRIOR * prior[0][i][x]) / (sum(w * c for w, (_, c) in zip(post, patterns)) + PRIOR)
-                u[i][x] = (sum((1 - w) * c for w, c in own) + PRIOR * prior[1][i][x]) / (sum((1 - w) * c for w, (_, c) in zip(post, patterns)) + PRIOR)
+                m[i][x] = (sum(w * c for w, (g, c) in zip(post, patterns) if g[i] == x) + PRIOR * start[i][x]) / (match + PRIOR)
     return [{x: math.log2(m[i][x] / u[i][x]) for x in ls} for i, ls in enumerate(levels)], p
 
 
@@ -268,10 +270,7 @@ class HistoryLinker:
         # changed words in doubt are looked up; one that is a name ends the agreement
         compared = materialize(_compared(met), "compared")
         asked = compared.where("changes >= 0").withColumn("d", F.explode_outer("doubtful")).drop("doubtful")
-        # the words of these items count too: a name that is new in them is known as one
-        asking = asked.select(F.element_at(F.split("d", ":"), -1).alias("w")).distinct()
-        words = self.spark.read.schema(_WORDS).parquet(f"{self.root}/words").unionByName(_word_counts(sig))
-        words = words.join(asking, F.col("word") == F.col("w"), "left_semi").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("lower", "cap", "german")])
+        words = self.spark.read.schema(_WORDS).parquet(f"{self.root}/words").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("lower", "cap", "german")])
         found = asked.join(words, F.element_at(F.split("d", ":"), -1) == F.col("word"), "left").na.fill(0, ["lower", "cap", "german"])
         noun = (F.substring("d", 2, 1) == "g") & (F.col("cap") == 0) & (F.col("german") >= GERMAN_NOUN)
         # a capital inside a sentence is a name's; at its start, or where case says nothing, the word must be known as one
