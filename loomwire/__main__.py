@@ -8,7 +8,7 @@ import sys
 from datetime import datetime, timezone
 from typing import Any
 
-from loomwire import clients, config, schedule
+from loomwire import clients, config, dims, schedule
 from loomwire.plans.news import run_registry
 from loomwire.session import session
 from loomwire.sinks import DeliveryLog
@@ -28,7 +28,7 @@ def services_of(spark, options: dict[str, Any], store: str | None) -> dict[str,
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="loomwire", description=__doc__)
     parser.add_argument("config", help="dotenv file")
-    parser.add_argument("--registry", required=True, help="Parquet table of the sources (see loomwire.operators.fetch)")
+    parser.add_argument("--registry", help="Parquet table of the sources (see loomwire.operators.fetch); the known ones if not given")
     parser.add_argument("--store", help="folder of a Parquet store; without it the configured database")
     parser.add_argument("--schedule", action="store_true", help="run at the times of cron_expr")
     args = parser.parse_args(arguments)
@@ -41,7 +41,8 @@ def main(arguments: list[str] | None = None) -> int:
 
     def once() -> bool:
         services = services_of(spark, options, args.store)
-        return run_registry(spark.read.parquet(args.registry), services, {**options, "as_of": datetime.now(timezone.utc)}, services["errors"])
+        registry = spark.read.parquet(args.registry) if args.registry else spark.createDataFrame(dims.REGISTRY, dims.REGISTRY_COLUMNS)
+        return run_registry(registry, services, {**options, "as_of": datetime.now(timezone.utc)}, services["errors"])
 
     try:
         if args.schedule:

@@ -30,3 +30,29 @@ _HOSTS = {
     "football-espana.net": "generic", "formula1.com": "long", "motorsport.com": "body_container", "racefans.net": "generic", "thepaper.cn": "generic", "nfnews.com": "generic",
 }
 EXTRACTOR_BY_HOST = {p + h: e for h, e in _HOSTS.items() for p in ("", "www.")} | {"edition.cnn.com": "component", "en.as.com": "generic", "as.com": "generic"}
+
+# The known sources. Feeds of the aggregator are searches; the rest are listing pages or feeds by address.
+_SEARCH = "https://news.google.com/rss/search?q={}&hl=en-US&gl=US&ceid=US:en"
+_SOURCES = {
+    "bbc": ("BBC", "cards", "https://www.bbc.com/news"), "bbc_sport": ("BBC Sport", "sport_links", "https://www.bbc.com/sport"),
+    "cnn_world": ("CNN", "spans", "https://edition.cnn.com/world"), "cnn_sport": ("CNN", "spans", "https://edition.cnn.com/sport"),
+    "marca": ("Marca", "headings", "https://www.marca.com/en/football/real-madrid.html"), "f1": ("Formula 1", "article_links", "https://www.formula1.com/en/latest.html"),
+    "techcrunch": ("TechCrunch", "dated_links", "https://techcrunch.com/category/artificial-intelligence/"), "thepaper": ("澎湃新闻", "numbered", "https://www.thepaper.cn"),
+    "nfnews": ("南方都市报", "titled", "https://www.nfnews.com"), "racefans": ("RaceFans", "linked_headings", "https://www.racefans.net"),
+    "managing_madrid": ("Managing Madrid", "feed", "https://www.managingmadrid.com/rss/index.xml"), "football_espana": ("Football España", "feed", "https://football-espana.net/category/real-madrid/feed"),
+    "motorsport": ("Motorsport.com", "feed", "https://www.motorsport.com/rss/f1/news/"),
+}
+_SEARCHES = {
+    "gn_international": "international+news", "gn_chinanews": "China", "gn_realmadrid": "%22Real+Madrid%22+when:2d", "gn_f1": "Formula+1+Ferrari+Leclerc", "gn_mlb": "MLB+Dodgers",
+    "gn_ai": "AI+large+language+model", "gn_shenzhen": "Shenzhen+Guangdong+news", "gn_wtt": "WTT+table+tennis", "gn_ttcn": "China+table+tennis",
+    "gn_football": "(football+OR+soccer)+AND+(%22Champions+League%22+OR+%22Premier+League%22+OR+%22La+Liga%22+OR+%22Serie+A%22+OR+%22Bundesliga%22+OR+%22UEFA%22+OR+%22transfer+news%22)+-nfl+-rugby+-hockey",
+}
+_SOURCES |= {k: ("Google News", "feed", _SEARCH.format(q)) for k, q in _SEARCHES.items()}
+# The sources of each category in their order.
+_SLOTS = {
+    "international": "bbc cnn_world cnn_sport gn_international gn_chinanews", "football": "bbc_sport gn_football", "realmadrid": "marca managing_madrid football_espana gn_realmadrid",
+    "f1": "f1 racefans bbc_sport gn_f1 motorsport", "ai": "techcrunch gn_ai", "mlb": "gn_mlb", "shenzhen": "thepaper nfnews gn_shenzhen", "tabletennis": "gn_wtt gn_ttcn",
+}
+#: category, source_ord, source_key, url, source_name and parser of each slot, as :func:`loomwire.operators.fetch.fetch_items` takes them.
+REGISTRY = [(c, i, k, _SOURCES[k][2], _SOURCES[k][0], _SOURCES[k][1]) for c, keys in _SLOTS.items() for i, k in enumerate(keys.split())]
+REGISTRY_COLUMNS = "category string, source_ord int, source_key string, url string, source_name string, parser string"
