@@ -142,8 +142,17 @@ def parse_source_date(spark: SparkSession, d: str) -> DataFrame:
 
 def extract_time(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("published_at is not null")
-    stamp = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    page = F.concat(F.lit('<script>{"datePublished": "never"}</script><article><time class="a" datetime="'), stamp, F.lit('">x</time></article>'))
+    iso, local = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")
+    forms = (
+        ('<script>{"datePublished": "', iso, '"}</script>'), ("datePublished&quot;:&quot;", iso, "&quot;"), ("<meta name='datePublished' content='", iso, "'>"), ('<meta property="article:published_time" content="', iso, '">'),
+        ('<meta name="pubdate" content="', iso, '">'), ('<time class="a" datetime="', iso, '">'), ('{"pubTime":"', local, '"}'), ('<i class="source-time">', F.replace(local, F.lit("-"), F.lit("/")), "</i>"),
+    )
+    own = F.lit("")
+    for i, (before, stamp, after) in enumerate(forms):
+        own = F.when(F.col("doc_id") % len(forms) == i, F.concat(F.lit(before), stamp, F.lit(after))).otherwise(own)
+    # an unreadable match of the first pattern, and one of the last that comes too late
+    page = F.concat(F.lit("<p>"), own, F.lit('</p><i class="source-time">never</i>'))
+    page = F.when(F.col("doc_id") % len(forms) > 0, F.concat(F.lit('{"datePublished": "soon"}'), page)).otherwise(page)
     return docs.select("doc_id", F.unix_micros(dates.extract_time(page)).alias("us"))
 
 
@@ -169,15 +178,26 @@ def _body(extract: Callable[[Column], Column]) -> Callable[[SparkSession, str],
     return run
 
 
-def extract_text_blocks_marked(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    page = F.concat(F.lit('<div data-component="text-block"><p>'), F.replace(F.replace(F.col("lang"), F.lit("<"), F.lit("")), F.lit("&"), F.lit("")), F.lit("</p></div><p>"), F.col("source"), F.lit("</p>"))
-    return docs.select("doc_id", pages.text_blocks(page).alias("body"))
+# How each marked page begins, what stands around its paragraphs, and how it ends; every line of a text is a paragraph.
+MARKED = {
+    "text_blocks": ("<main>", '<div data-component="text-block"><p>', "</p></div>", "</main>"),
+    "component": ("<main>", '<div data-component-name="paragraph" class="p">', "</div>", "</main>"),
+    "article_content": ('<div class="big article-content">', "<p>", "</p>", "</article>"),
+    "body_container": ('<div class="ms-article__body x">', "<p>", "</p>", "</div>"),
+}
+
+
+def _marked(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    head, begin, end, tail = MARKED[name]
 
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs = table(spark, d, "documents").where("text is not null")
+        lines = F.regexp_replace(F.replace(F.replace(F.col("text"), F.lit("<"), F.lit("")), F.lit("&"), F.lit("&amp;")), "\n+", f"{end}\n{begin}")
+        page = F.concat(F.lit(head + begin), lines, F.lit(end + tail + "<p>A paragraph of the page that is not of the article at all.</p>"))
+        return docs.select("doc_id", F.sha2(pages.EXTRACTORS[name](page), 256).alias("h"))
 
-def extract_component_marked(spark: SparkSession, d: str) -> DataFrame:
-    page = F.concat(F.lit('<div data-component-name="paragraph" class="p">'), F.repeat(F.col("source"), F.lit(9)), F.lit("</div><p>x</p>"))
-    return table(spark, d, "documents").select("doc_id", pages.component(page).alias("body"))
+    run.__name__ = f"extract_{name}_marked"
+    return run
 
 
 def route_extractor(spark: SparkSession, d: str) -> DataFrame:
@@ -225,10 +245,15 @@ def _listing(name: str, parts: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _markup_of(parts: str) -> Column:
-    """A page from a pattern in which @ stands for the row's number and ^ for its title."""
+    """A page of five rows from a pattern in which @ stands for a number and ^ for a title: a row, text that is
+    no row, the same row again, one whose title is too short, and another row."""
     number = F.col("raw_id").cast("string")
-    title = F.concat(F.lit("A headline that is long enough no. "), number)
-    return F.replace(F.replace(F.lit(parts), F.lit("^"), title), F.lit("@"), number)
+
+    def row(n: Column, title: Column) -> Column:
+        return F.replace(F.replace(F.lit(parts), F.lit("^"), title), F.lit("@"), n)
+
+    first = row(number, F.concat(F.lit("A headline that is long enough no. "), number))
+    return F.concat(first, F.lit("<p>Text between</p>"), first, row(F.concat(number, F.lit("5")), F.lit("Short")), row(F.concat(number, F.lit("7")), F.concat(F.lit("Another headline of length no. "), number)))
 
 
 LISTING_PAGES = {
@@ -335,7 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         pipeline_flagship, filter_recency, history_window, dedupe_by_id, first_wins_canonical, exact_text_dedupe, truncate_per_category, save_upsert, category_counts, merge_status,
         resolve_links, source_order, canonical_url, hash_id, is_article_url, aggregator_links, html_unescape, strip_tags_listing, strip_tags_body, collapse_ws, escape_markdown,
-        parse_source_date, extract_time, source_date_repair, *_BODIES, extract_text_blocks_marked, extract_component_marked, route_extractor, read_items, fetch_items, rss_parse, *_LISTINGS,
+        parse_source_date, extract_time, source_date_repair, *_BODIES, *[_marked(n) for n in MARKED], route_extractor, read_items, fetch_items, rss_parse, *_LISTINGS,
         format_article, format_section, format_digest, split_message, reply_validate, reply_match_by_id_or_pos, dedupe_by_event, stream_to_store, p6_found, p6_times,
     )
 }
@@ -418,6 +443,27 @@ _ROUTED: dict[str, int] = {"skipped": 2}
 for _e in [*_NAMED.values(), *dims.EXTRACTOR_BY_HOST.values()]:
     _ROUTED[_e] = _ROUTED.get(_e, 0) + 1
 
+
+
+def _listing_sql(name: str, url: str, time: str, category: str) -> str:
+    """The row of a page and the other one; a listing that does not look for repeats has the first twice."""
+    one = f"'A headline that is long enough no. ' || raw_id AS title, {url} AS url"
+    other = "'Another headline of length no. ' || raw_id AS title, " + url.replace("raw_id", "(raw_id || '7')") + " AS url"
+    rows = [one, one, other] if not listings.LISTINGS[name].once else [one, other]
+    return " UNION ALL ".join(f"SELECT raw_id, {i} AS item_ord, {x}, {time} AS time, {category} AS category FROM raw_item" for i, x in enumerate(rows))
+
+
+def _marked_sql(name: str, blocks: str, keep: str, clean: bool = False) -> str:
+    head, begin, end, tail = MARKED[name]
+    lines = f"regexp_replace(replace(replace(text, '<', ''), '&', '&amp;'), '\\n+', {_q(end)} || chr(10) || {_q(begin)}, 'g')"
+    page = f"{_q(head + begin)} || {lines} || {_q(end + tail + '<p>A paragraph of the page that is not of the article at all.</p>')}"
+    body = _body_sql(blocks, keep)
+    if clean:  # lengths are those of collapsed texts
+        body = f"coalesce(array_to_string(list_slice(list_filter(list_transform({blocks}, lambda b: coalesce({_clean_sql('b')}, '')), lambda b: {keep.format(s='b')}), 1, 100), chr(10) || chr(10)), '')"
+    rest = "" if name in ("text_blocks", "article_content") else f"WHEN {body} = '' THEN {_GENERIC_SQL} "
+    return f"SELECT doc_id, sha256(CASE {rest}WHEN true THEN {body} END) AS h FROM (SELECT doc_id, {page} AS page FROM documents WHERE text IS NOT NULL)"
+
+
 SQL: dict[str, str] = {
     "filter_recency": f"SELECT item_id FROM brief_news WHERE source_date IS NULL OR epoch_us(source_date) >= {AS_OF_US - 24 * HOUR_US}",
     "history_window": f"SELECT item_id, hash_id, category FROM brief_news WHERE category IN ('ai', 'f1', 'football') AND epoch_us(source_date) >= {AS_OF_US - 72 * HOUR_US}",
@@ -441,7 +487,7 @@ SQL: dict[str, str] = {
     "collapse_ws": "SELECT doc_id, sha256(" + _trim_sql(f"regexp_replace(text, '{_WS}+', ' ', 'g')") + ") AS h FROM documents",
     "escape_markdown": f"SELECT item_id, {_ESC.format('title')} AS t FROM brief_news",
     "parse_source_date": f"SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN epoch_us(o_orderdate) // 1000000 * 1000000 WHEN 1 THEN epoch_us(o_orderdate) // 1000000 * 1000000 WHEN 2 THEN epoch_us(o_orderdate) // 60000000 * 60000000 - {8 * HOUR_US} ELSE 0 END AS BIGINT) AS us FROM orders",
-    "extract_time": "SELECT doc_id, epoch_us(published_at) // 1000000 * 1000000 AS us FROM documents WHERE published_at IS NOT NULL",
+    "extract_time": f"SELECT doc_id, epoch_us(published_at) // 1000000 * 1000000 - CASE WHEN doc_id % 8 >= 6 THEN {8 * HOUR_US} ELSE 0 END AS us FROM documents WHERE published_at IS NOT NULL",
     "source_date_repair": f"""SELECT event_id, CASE WHEN event_id % 5 = 0 AND event_id % 3 <> 0 THEN {AS_OF_US} WHEN event_id % 3 = 0 THEN epoch_us(ts) + {HOUR_US} ELSE epoch_us(ts) END AS us FROM events""",
     "extract_generic": f"SELECT doc_id, sha256({_GENERIC_SQL}) AS h FROM (SELECT doc_id, {_PAGE_SQL} AS page FROM documents WHERE text IS NOT NULL)",
     "extract_text_blocks": f"SELECT doc_id, sha256({_GENERIC_SQL}) AS h FROM (SELECT doc_id, {_PAGE_SQL} AS page FROM documents WHERE text IS NOT NULL)",
@@ -449,13 +495,15 @@ SQL: dict[str, str] = {
     "extract_body_container": f"SELECT doc_id, sha256({_GENERIC_SQL}) AS h FROM (SELECT doc_id, {_PAGE_SQL} AS page FROM documents WHERE text IS NOT NULL)",
     "extract_long": f"SELECT doc_id, sha256({_LONG_SQL}) AS h FROM (SELECT doc_id, {_PAGE_SQL} AS page FROM documents WHERE text IS NOT NULL)",
     "extract_article_content": f"SELECT doc_id, sha256(CASE WHEN length({_clean_sql('x')}) > 20 THEN {_clean_sql('x')} ELSE '' END) AS h FROM (SELECT doc_id, {_FULL_SQL} AS x FROM (SELECT doc_id, {_PAGE_SQL} AS page FROM documents WHERE text IS NOT NULL))",
-    "extract_text_blocks_marked": "SELECT doc_id, CASE WHEN lang IS NOT NULL AND source IS NOT NULL THEN lang ELSE '' END AS body FROM documents WHERE text IS NOT NULL",
-    "extract_component_marked": f"SELECT doc_id, CASE WHEN source IS NULL THEN NULL WHEN length(repeat(source, 9)) > 50 THEN {_trim_sql('repeat(source, 9)')} ELSE '' END AS body FROM documents",
+    "extract_text_blocks_marked": _marked_sql("text_blocks", "regexp_extract_all(page, '(?s)data-component=\"text-block\".*?<p[^>]*>(.*?)</p>', 1)", "{s} <> ''"),
+    "extract_component_marked": _marked_sql("component", "regexp_extract_all(page, '(?s)data-component-name=\"paragraph\"[^>]*>(.*?)</div>', 1)", "length({s}) > 50 AND length({s}) < 5000", True),
+    "extract_article_content_marked": _marked_sql("article_content", r"string_split_regex(regexp_extract(page, '(?s)class=\"big article-content\">(.*?)</article>', 1), '</p>\s*<p[^>]*>')", "length({s}) > 20", True),
+    "extract_body_container_marked": _marked_sql("body_container", "regexp_extract_all(regexp_extract(page, '(?s)ms-article__body x\">(.*?)</div>', 1), '(?s)<p[^>]*>(.*?)</p>', 1)", "length({s}) > 40"),
     "route_extractor": "SELECT extractor, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'generic' AS extractor, count(*) AS n FROM brief_news UNION ALL VALUES " + ", ".join(f"({_q(e)}, {n})" for e, n in _ROUTED.items()) + ") GROUP BY extractor",
     "read_items": "SELECT item_id, NOT EXISTS (SELECT 1 FROM brief_news b WHERE b.url = a.url AND b.raw_id IS NOT NULL AND b.item_id % 2 = 0) AS kept FROM brief_news a WHERE raw_id IS NOT NULL",
     "fetch_items": "SELECT category, 'https://x.example/' || source_key AS url FROM source_registry WHERE kind = 'rss' UNION ALL SELECT DISTINCT category, 'https://x.example/shared' FROM source_registry WHERE kind = 'rss'",
     "rss_parse": f"SELECT raw_id, 0 AS item_ord, trim(url) AS url, CASE WHEN length({_trim_sql('repeat(source_name, 4)')}) > 40 THEN {_trim_sql('repeat(source_name, 4)')} END AS raw FROM raw_item WHERE length(coalesce({_unescape_sql('title')}, '')) > 5 AND url <> ''",
-    **{f"listing_{n}": f"SELECT raw_id, 0 AS item_ord, 'A headline that is long enough no. ' || raw_id AS title, {u} AS url, {t} AS time, {c} AS category FROM raw_item" for n, (u, t, c) in _LISTING_SQL.items()},
+    **{f"listing_{n}": _listing_sql(n, *x) for n, x in _LISTING_SQL.items()},
     "format_article": f"SELECT item_id, {_ARTICLE} AS article FROM brief_news",
     "format_section": _sections_sql(_SHOWN),
     "format_digest": f"""WITH s AS ({_sections_sql(_SHOWN)}), c AS (SELECT coalesce(d.category, s.category) AS category, s.section FROM (SELECT DISTINCT category FROM category_dim) d FULL JOIN s ON d.category = s.category)
