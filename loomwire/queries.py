@@ -226,7 +226,11 @@ def fetch_items(spark: SparkSession, d: str) -> DataFrame:
     item = "<item><title>A story title</title><link>https://x.example/{}</link></item>"
     registry = table(spark, d, "source_registry")
     html = F.concat(F.replace(F.lit(item.format("@")), F.lit("@"), F.col("source_key")), F.lit(item.format("shared")))
-    snap = registry.where("kind = 'rss'").select("url", html.alias("html"))
+    # listing pages of the two structures in the table; their rows count only in the category that the structure is of
+    spans = '<a href="/2025/06/03/world/@"><span class="container__headline-text">A headline of the source @</span></a>'
+    headings = '<a href="https://www.marca.com/futbol/real-madrid/@.html"></a><h2 class="t">A headline of the source @</h2>'
+    listing = F.replace(F.when(F.col("parser") == "spans", spans).when(F.col("parser") == "headings", headings), F.lit("@"), F.col("source_key"))
+    snap = registry.select("url", F.when(F.col("kind") == "rss", html).otherwise(listing).alias("html"))
     return fetch.fetch_items(registry, snap, AS_OF).select("category", "url")
 
 
@@ -501,7 +505,7 @@ SQL: dict[str, str] = {
     "extract_body_container_marked": _marked_sql("body_container", "regexp_extract_all(regexp_extract(page, '(?s)ms-article__body x\">(.*?)</div>', 1), '(?s)<p[^>]*>(.*?)</p>', 1)", "length({s}) > 40"),
     "route_extractor": "SELECT extractor, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'generic' AS extractor, count(*) AS n FROM brief_news UNION ALL VALUES " + ", ".join(f"({_q(e)}, {n})" for e, n in _ROUTED.items()) + ") GROUP BY extractor",
     "read_items": "SELECT item_id, NOT EXISTS (SELECT 1 FROM brief_news b WHERE b.url = a.url AND b.raw_id IS NOT NULL AND b.item_id % 2 = 0) AS kept FROM brief_news a WHERE raw_id IS NOT NULL",
-    "fetch_items": "SELECT category, 'https://x.example/' || source_key AS url FROM source_registry WHERE kind = 'rss' UNION ALL SELECT DISTINCT category, 'https://x.example/shared' FROM source_registry WHERE kind = 'rss'",
+    "fetch_items": "SELECT category, 'https://x.example/' || source_key AS url FROM source_registry WHERE kind = 'rss' UNION ALL SELECT DISTINCT category, 'https://x.example/shared' FROM source_registry WHERE kind = 'rss' UNION ALL SELECT category, 'https://edition.cnn.com/2025/06/03/world/' || source_key FROM source_registry WHERE parser = 'spans' AND category = 'international' UNION ALL SELECT category, 'https://www.marca.com/futbol/real-madrid/' || source_key || '.html' FROM source_registry WHERE parser = 'headings' AND category = 'realmadrid'",
     "rss_parse": f"SELECT raw_id, 0 AS item_ord, trim(url) AS url, CASE WHEN length({_trim_sql('repeat(source_name, 4)')}) > 40 THEN {_trim_sql('repeat(source_name, 4)')} END AS raw FROM raw_item WHERE length(coalesce({_unescape_sql('title')}, '')) > 5 AND url <> ''",
     **{f"listing_{n}": _listing_sql(n, *x) for n, x in _LISTING_SQL.items()},
     "format_article": f"SELECT item_id, {_ARTICLE} AS article FROM brief_news",
