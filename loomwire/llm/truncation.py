@@ -3,7 +3,8 @@
 All in SQL. Word trigrams (characters for Chinese; names and numbers masked) are counted inside
 texts and at the ends of lines. A text that does not end like a sentence is joined with the
 counts of its final trigram: one that is frequent inside and almost never terminal means a cut.
-If the last word is itself cut in two, its trigram is unknown and the one before it decides. A last
+If the last word is itself cut in two, its trigram is rare after the one before it, which decides,
+whatever the number of texts: in many texts a half word is met again, and in some inside. A last
 line that is no running text, but a score, an item, a headline or furniture, ends nothing.
 Counts cover all texts; they are summed by trigram before the shuffle, so a trigram that half of
 the texts share is a few rows per task.
@@ -69,7 +70,8 @@ def _lines_sql() -> dict[str, str]:
 
 # fmt: off
 COUNTS = r"""
-SELECT h, count_if(NOT last) AS inside, count_if(last) AS terminal
+-- one column, since two that are read apart would have the trigrams counted twice: inside, terminal
+SELECT h, array(count_if(NOT last), count_if(last)) AS n
 FROM (SELECT xxhash64(a, b, c) AS h, coalesce(d, '\n') = '\n' AS last
       FROM (SELECT inline(arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)), slice(w, 4, size(w)))) AS (a, b, c, d)
             FROM (SELECT {words} AS w FROM {texts}))
@@ -94,12 +96,12 @@ SELECT e.key, e.source, trim(e.last_line) AS last_line, trim(e.before_last) AS b
 FROM {ends} e
 LEFT JOIN {counts} f ON e.final = f.h
 LEFT JOIN {counts} b ON e.before = b.h
-WHERE e.marked OR CASE
+WHERE e.marked
    -- the final trigram is known: almost never terminal
-   WHEN coalesce(f.inside, 0) >= 3 THEN coalesce(f.terminal, 0) - 1 <= 1 + {most} * f.inside
-   -- half a word: the trigram before it is known, goes on elsewhere, and hardly ever like this
-   WHEN coalesce(b.inside, 0) >= 3 THEN b.terminal <= 1 + {most} * b.inside AND coalesce(f.inside + f.terminal, 0) - 1 <= 1 + {most} * b.inside
-   ELSE coalesce(f.terminal, 0) <= 1 AND length(e.last_line) >= 12 END
+   OR (f.n[0] >= 3 AND f.n[1] - 1 <= 1 + {most} * f.n[0])
+   -- half a word, known or not: the trigram before it is known and hardly ever goes on like this
+   OR (b.n[0] >= 3 AND coalesce(f.n[0] + f.n[1], 0) - 1 <= 1 + {most} * b.n[0])
+   OR (coalesce(f.n[0], 0) < 3 AND coalesce(b.n[0], 0) < 3 AND coalesce(f.n[1], 0) <= 1 AND length(e.last_line) >= 12)
 """
 # fmt: on
 

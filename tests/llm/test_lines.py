@@ -175,6 +175,16 @@ def test_cues_need_their_strings():
             assert literals.required(part)
 
 
+def test_half_words_among_many_texts(spark, rows):
+    """Half a word that is met again, at ends and inside, is one however many the texts are."""
+    whole = [f"{ARTICLE} The board met in the {w} hall of town {i}." for i in range(60) for w in ("old", "new")]
+    cases = [f"{ARTICLE} Town {chr(97 + i)} was quiet. The board met in the ne" for i in range(4)]
+    met = [f"{ARTICLE} The board met in the ne… and that was it for town {i}." for i in range(3)] + [f"{ARTICLE} The board met in the ne or so they said in town {i}." for i in range(3)]
+    titles = [f"{ARTICLE}\n\nThe hall of town {i}, who goes there now" for i in range(8)]
+    df = frame(spark, *cases, *whole, *met, *titles)
+    assert [i for i, in rows(truncation.truncated(df), "item_id")] == [0, 1, 2, 3]
+
+
 @pytest.mark.xfail(reason="the first case is missed: among so few texts its last trigram, inside two and at two ends, does not count as hardly ever terminal; open")
 def test_cut_texts_without_bounds(spark, rows):
     body = [f"{ARTICLE} The board met in town {chr(97 + i)}." for i in range(12)]
