@@ -185,6 +185,18 @@ def test_half_words_among_many_texts(spark, rows):
     assert [i for i, in rows(truncation.truncated(df), "item_id")] == [0, 1, 2, 3]
 
 
+def test_recurrent_lines_come_from_compared_clusters(spark, rows, monkeypatch):
+    """Lines of one bucket that are unlike its leader are compared with it and still found, and without clusters there are no rows."""
+    monkeypatch.setattr(lines, "with_bands", lambda df: df.drop("words").select("*", *[lines.F.lit(1).cast("long").alias(f"d{j}") for j in range(lines.BANDS)]))
+    texts = [f"Own words {chr(97 + i)}\nShare this story now\nAll rights are reserved here\nShare this story, {i}" for i in range(4)] + ["Share this story now"] * 2
+    df = frame(spark, *texts)
+    want = brute([tuple(r) for r in df.collect()])
+    assert len(want) == 14 and rows(lines.recurrent_lines(df), "item_id", "line_no") == want
+    clusters = lines.near_clusters
+    monkeypatch.setattr(lines, "near_clusters", lambda *a, **k: clusters(*a, **k).where("false"))
+    assert lines.recurrent_lines(df).count() == 0
+
+
 @pytest.mark.xfail(reason="the first case is missed: among so few texts its last trigram, inside two and at two ends, does not count as hardly ever terminal; open")
 def test_cut_texts_without_bounds(spark, rows):
     body = [f"{ARTICLE} The board met in town {chr(97 + i)}." for i in range(12)]
